@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,3 +90,15 @@ def array_of(df: DataFrame, size: int, index: str, value: str) -> Column:
     dense = spark.range(size).join(bare(df, index, value).withColumnRenamed(index, "id"), "id", "left")
     one = dense.agg(F.array_sort(F.collect_list(F.struct(F.col("id"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("v")))).alias("a"))
     return one.select(F.col("a.v").alias("a")).scalar()
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
+    """Arrow batches of bounded bytes for the jobs run inside, however long single texts are."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
