@@ -1,10 +1,14 @@
-"""Stages that turn ``documents`` into packed training batches."""
+"""Stages that turn ``documents`` into packed training batches.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
+kept; all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import quality_rules
+from tessera.llm import mixing, near_dedup, packing, quality_rules, secret_scan
 from tessera.llm.common import table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -15,12 +19,40 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, table(spark, sf_dir, "labels"), keep=COLUMNS).where("kept").select(*COLUMNS)
 
 
-STAGES = [("quality rules", good)]
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return near_dedup.deduplicated(docs).select(*COLUMNS)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets masked."""
+    return secret_scan.redacted(docs, table(spark, sf_dir, "labels")).select(*COLUMNS)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sources mixed to their targets: documents left out, cut at a source's budget, or repeated."""
+    return mixing.mixed(docs).select(*COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row a segment with its bucket, batch and slot."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", good),
+    ("near-dedup", distinct),
+    ("secret scans", without_secrets),
+    ("mixing", mixed),
+    ("packing", packed),
+]
 
+#: No SQL: hashed n-gram scores and Markov models decide what is kept; the tests compare with a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result of all stages on ``documents``, each written and read again before the next."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
