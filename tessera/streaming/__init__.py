@@ -1,0 +1 @@
+"""The dialect's relations are finite; it has no streams, windows or watermarks, so this package is empty."""
