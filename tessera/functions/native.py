@@ -23,6 +23,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.errors import EvalError
 from tessera.functions import values as V
@@ -99,17 +100,17 @@ def tree(parts: Sequence[Column], join: Callable[[Column, Column], Column]) -> C
     return parts[0]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _real_text(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if pd.isna(v) else real_to_text(v)).astype(object)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _long_numeral(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if v is None else text_to_real(v)).astype("float64")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _like(x: pd.Series, pattern: pd.Series, escape: pd.Series) -> pd.Series:
     """An escape of more than one character means none was written."""
 
