@@ -110,14 +110,15 @@ def judge(
 ) -> DataFrame:
     """The columns ``keep`` of every document with its counts, score and verdict."""
     lr = log_ratios(docs, labels, buckets, max_trusted, mix)
-    text = F.col("_t")
-    all_of = lambda s: F.struct(
-        *[c.alias(n) for n, c in base_counts(text, s["w"]).items()],
-        (F.aggregate(neighbours(s["w"]), F.lit(0.0), lambda a, x: a + sum((F.get(s["lr"], b) for b in features(x["w"], x["v"], buckets)), F.lit(0.0))) / F.greatest(3 * F.size(s["w"]), F.lit(1))).alias("score"),
-    )
-    read = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_t"), lr.alias("_lr"))  # a subquery can't stand inside a lambda's argument
-    out = read.select(*keep, let(F.struct(words(text).alias("w"), F.col("_lr").alias("lr")), all_of).alias("_m"))
+    read = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("text"), lr.alias("ratios"))  # a subquery can't stand inside a lambda's argument
+
+    def all_of(s: Column) -> Column:
+        step = lambda a, x: a + sum((F.get(s["lr"], b) for b in features(x["w"], x["v"], buckets)), F.lit(0.0))
+        score = F.aggregate(neighbours(s["w"]), F.lit(0.0), step) / F.greatest(3 * F.size(s["w"]), F.lit(1))
+        return F.struct(*[c.alias(n) for n, c in base_counts(F.col("text"), s["w"]).items()], score.alias("score"))
+
+    measured = read.select("row", let(F.struct(words(F.col("text")).alias("w"), F.col("ratios").alias("lr")), all_of).alias("m"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score")
-    out = out.select(*keep, *[F.col(f"_m.{n}").alias(n) for n in names])
+    out = measured.select("row.*", *[F.col(f"m.{n}").alias(n) for n in names])
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= min_score))

@@ -125,35 +125,34 @@ def all_spans(text: Column, ratios: Column, threshold: float) -> Column:
     return let(F.struct(base.alias("base"), find(text, RUN).alias("runs"), ratios.alias("r")), with_markov)
 
 
-def with_spans(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, keep: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
-    """The columns ``keep`` and _spans, an array of (start, kind, end)."""
-    ratios = model(docs, labels)
-    read = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_t"), ratios.alias("_r"))
-    return read.select(*keep, all_spans(F.col("_t"), F.col("_r"), threshold).alias("_spans"))
+def with_spans(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Every row of ``docs`` as a struct ``row``, its text, and its spans: an array of (start, kind, end)."""
+    read = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"), model(docs, labels).alias("ratios"))
+    return read.select("row", "text", all_spans(F.col("text"), F.col("ratios"), threshold).alias("spans"))
 
 
 def scan(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_markov, base_sha256 and spans of every document."""
     names = F.array(*map(F.lit, KINDS))
     joined = lambda s: F.array_join(F.transform(s, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"], x["end"])), ",")
-    out = with_spans(docs, labels, threshold, ("doc_id",))
-    of = lambda k: F.size(F.filter("_spans", lambda x: x["kind"] == k)).cast("long")
+    out = with_spans(bare(docs, "doc_id", "text"), labels, threshold).select("row.doc_id", "spans")
+    of = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long")
     return out.select(
         "doc_id",
         *[of(k).alias(f"n_{KINDS[k]}") for k in range(3)],
-        F.sha2(joined(F.filter("_spans", lambda x: x["kind"] < 3)), 256).alias("base_sha256"),
-        joined(F.col("_spans")).alias("spans"),
+        F.sha2(joined(F.filter("spans", lambda x: x["kind"] < 3)), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
         of(3).alias("n_markov"),
     )
 
 
 def redacted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` with every span replaced by a mask, and n_chars, if there, counted anew."""
-    names = tuple(docs.columns)
-    out = with_spans(docs, labels, threshold, names)
-    merged = F.transform(disjoint(F.col("_spans"), "array<struct<start:int,end:int>>"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(MASK).alias("new")))
-    text = F.when(F.size("_spans") > 0, replaced(F.col("text"), merged)).otherwise(F.col("text"))
-    out = out.withColumn("text", text)
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in names])
+    out = with_spans(docs, labels, threshold)
+    merged = F.transform(disjoint(F.col("spans"), "array<struct<start:int,end:int>>"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(MASK).alias("new")))
+    found = F.size("spans") > 0
+    new = F.col("row").withField("text", F.when(found, replaced(F.col("text"), merged)).otherwise(F.col("text")))
+    out = out.select("spans", new.alias("row"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("row", F.col("row").withField("n_chars", F.when(F.size("spans") > 0, F.length("row.text").cast("long")).otherwise(F.col("row.n_chars"))))
+    return out.select("row.*")
