@@ -278,7 +278,7 @@ def test_pipeline(spark, tmp_path):
 
     rng = random.Random(4)
     hexes = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
-    fresh = lambda n: " ".join(f"{rng.choice('abcdefg')}{rng.randrange(3000)}" for _ in range(n))
+    fresh = lambda n: " ".join(f"{rng.choice('abcdefg')}{rng.randrange(30)}" for _ in range(n))
     rows = [(i, fresh(100) + (f" token = {hexes}" if i % 9 == 0 else ""), "en", f"s{i % 4}", None) for i in range(80)]
     rows += [(100 + i, rows[i][1], "en", "s1", 1) for i in range(10)] + [(200, "too short", "en", "s0", 1), (201, None, None, None, None), (202, "spam spam spam " * 60, "en", "s2", 1), (5, rows[5][1], "en", "s1", 1)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
