@@ -24,15 +24,15 @@ def find(text: Column, pattern: str, group: int = 0, hint: str | None = None) ->
         def step(acc: Column, x: Column) -> Column:
             start = acc["at"] + F.length(x["gap"])
             end = start + F.length(x["hit"])
-            span = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit"), x["part"].alias("part"))
+            span = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit"), x["part" if group else "hit"].alias("part"))
             return F.struct(end.alias("at"), F.array_append(acc["out"], span).alias("out"))
 
         return F.aggregate(z, F.struct(F.lit(0).alias("at"), nothing.alias("out")), step, lambda acc: acc["out"])
 
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else hits
+    parts = [F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("part")] if group else []
     gaps = F.split(text, pattern, -1)
-    zipped = F.arrays_zip(hits.alias("hit"), parts.alias("part"), F.slice(gaps, F.lit(1), F.greatest(F.size(gaps) - 1, F.lit(0))).alias("gap"))
+    zipped = F.arrays_zip(hits.alias("hit"), *parts, F.slice(gaps, F.lit(1), F.greatest(F.size(gaps) - 1, F.lit(0))).alias("gap"))
     return F.when(F.coalesce(text.rlike(hint or pattern), F.lit(False)), let(zipped, place)).otherwise(nothing)
 
 

@@ -52,10 +52,12 @@ TITLES = {"f": "Mrs Ms Frau Madame Señora".split(), "m": "Mr Herr Monsieur Señ
 CAPITAL = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
 _TITLE = "|".join(t for group in TITLES.values() for t in group)
 _GIVEN = "|".join(FEMALE + MALE)
-PERSON = rf"(?<![\p{{L}}\p{{N}}])(?:(?:{_TITLE})\.? (?:{CAPITAL} )?{CAPITAL}|(?:{_GIVEN}) {CAPITAL})(?!\p{{L}})"
+#: A name or title begins with a capital; this is looked at first, as it rules out most places.
+BEGIN = r"(?=[A-Z\u00C0-\u00DE\u0400-\u042F])(?<![\p{L}\p{N}])"
+PERSON = rf"{BEGIN}(?:(?:{_TITLE})\.? (?:{CAPITAL} )?{CAPITAL}|(?:{_GIVEN}) {CAPITAL})(?!\p{{L}})"
 ANY = "|".join([*PATTERNS.values(), PERSON])
 #: Any match implies a digit, an @, a title or a known name.
-HINT = rf"[0-9@]|(?:{_TITLE}|{_GIVEN})\.? "
+HINT = rf"[0-9@]|{BEGIN}(?:{_TITLE}|{_GIVEN})\.? "
 MENTION = "array<struct<start:int,end:int,kind:string,canon:string,hit:string>>"
 
 #: Syllables that surrogate names are made of, by script: consonants, vowels, and endings by role and gender.
