@@ -7,21 +7,24 @@ tables of 2k minhashes each come from 2 * m * k minhashes instead of
 2 * m * m * k. Two sets of similarity J meet in some table with probability
 (1 - (1 - J^k)^m)^2, with the values below 0.9997 at J = 0.75, 0.99998 at 0.8.
 
-Before tables are made, sketches that no other document has are dropped: a
-table key made of one can't be shared. Most documents end there.
-
 Documents with equal sets form a class, which its least doc_id stands for, so
-copies meet no pairs. In each table key's group a pivot, drawn by a hash of the
-key, is paired with the other members: pairs grow with the members, and as two
-similar documents share dozens of groups with different pivots, they are nearly
-always compared directly or joined over common neighbours. Each member is first
-checked against one pivot; other pairs only where that left the two in
-different components. Groups that still hold several components go through
-more rounds: all pairs of different components in small groups, new pivots in
-large ones, until a round finds no link. Every link is confirmed on full sets.
-
-Sketches and sets are computed in Arrow batches with numpy. All steps end in
-tables in the shared folder; texts move once, for documents that share keys.
+copies meet no pairs. Sketches that no other class has are dropped first, as a
+key made of one can't be shared; most documents end there. Then the m tables of
+equally numbered sketches are searched, which finds most links and joins large
+groups of copies. Of the sketches, only those are kept that classes of different
+components still share, and all m * m tables are made of them.
+
+In the group of a table key, a pivot, drawn by a hash of the key, is paired with
+the other members, so pairs grow with the members; each member is first checked
+against one of its pivots, and other pairs only where that left the two in
+different components. Of the groups of the m * m tables, small ones have all
+pairs of different components checked, large ones draw new pivots until a round
+finds no link. Every link is confirmed on full sets.
+
+Sketches and sets are computed in Arrow batches with numpy, and sets only for
+documents that share sketches; which those are goes to the tasks as a bitmap of
+at most MAX_BITS bits. All steps end in tables in the shared folder. Texts never
+move.
 
 Defined results
 - null or empty text, or blanks only: n_shingles 0, linked with nothing.
@@ -48,7 +51,8 @@ SHINGLE = 5
 SIMILARITY = 75  # percent
 K = 3
 M = 16
-SMALL_GROUP = 32
+SMALL_GROUP = 16
+MIN_BITS, MAX_BITS = 1 << 20, 1 << 28
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Words whose hashes a worker keeps.
@@ -129,26 +133,50 @@ def sketched(batches: Iterator[pa.RecordBatch], k: int, m: int) -> Iterator[pa.R
             )
 
 
-def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def sets_of(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """doc_id and set, of doc_id and text, for the ids whose bit is set."""
     hashes = WordHashes()
     with np.errstate(over="ignore"):
         for batch in batches:
+            place = np.mod(batch.column(0).fill_null(0).to_numpy(), 8 * len(wanted))
+            batch = batch.filter(pa.array((wanted[place // 8] >> (place % 8).astype(np.uint8) & 1).astype(bool)))
             found = [shingles(t.as_py(), hashes).view(np.int64) for t in batch.column(1)]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
             values = np.concatenate(found) if found else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["doc_id", "s"])
 
 
-def groups(reps: DataFrame) -> DataFrame:
-    """(key, rep): the table keys of each class that at least one sketch from either collection shares with another class."""
-    m = M
+def shared(reps: DataFrame) -> DataFrame:
+    """(rep, slot, v): the sketches of each class that another class has too."""
     each = reps.select("rep", F.posexplode("sketch").alias("slot", "v"))
-    shared = each.groupBy("v").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y").select("v")
-    each = each.join(shared, "v", "left_semi")
-    of = each.groupBy("rep").agg(F.collect_list(F.when(F.col("slot") < m, F.col("v"))).alias("one"), F.collect_list(F.when(F.col("slot") >= m, F.col("v"))).alias("two"))
+    several = each.groupBy("v").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y").select("v")
+    return each.join(several, "v", "left_semi").select("rep", "slot", "v")
+
+
+def diagonal(each: DataFrame) -> DataFrame:
+    """(key, rep) for the tables of equally numbered sketches."""
+    one, two = F.max(F.when(F.col("slot") < M, F.col("v"))).alias("one"), F.max(F.when(F.col("slot") >= M, F.col("v"))).alias("two")
+    both = each.groupBy("rep", (F.col("slot") % M).alias("n")).agg(one, two).where("one is not null and two is not null")
+    return both.select(F.xxhash64("one", "two").alias("key"), "rep")
+
+
+def tables(each: DataFrame) -> DataFrame:
+    """(key, rep) for all pairs of a class's sketches from the two collections."""
+    of = each.groupBy("rep").agg(F.collect_list(F.when(F.col("slot") < M, F.col("v"))).alias("one"), F.collect_list(F.when(F.col("slot") >= M, F.col("v"))).alias("two"))
     return of.select("rep", "two", F.explode("one").alias("u")).select("rep", "u", F.explode("two").alias("w")).select(F.xxhash64("u", "w").alias("key"), "rep")
 
 
+def bitmap(ids: DataFrame) -> np.ndarray:
+    """The ids of a column ``id`` as set bits; of so few bits that the driver and every task can hold them, so others may share a bit."""
+    bits = min(max(1 << (8 * ids.count()).bit_length(), MIN_BITS), MAX_BITS)
+    place = F.pmod("id", F.lit(bits)) + 1
+    blocks = ids.groupBy(F.call_function("bitmap_bucket_number", place).alias("block")).agg(F.call_function("bitmap_construct_agg", F.call_function("bitmap_bit_position", place)).alias("b")).collect()
+    out = np.zeros(bits // 8, np.uint8)
+    for block, b in blocks:
+        out[(block - 1) * 4096 : block * 4096] = np.frombuffer(bytes(b), np.uint8)
+    return out
+
+
 def pivots(keyed: DataFrame, turn: int) -> DataFrame:
     """(a, pivot) for each group's members but its pivot, which is drawn by a hash of the key."""
     mask = F.xxhash64("key", F.lit(turn))
@@ -178,6 +206,11 @@ def apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
+def in_components(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """Adds c, the component of each row's rep."""
+    return rows.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
+
+
 def classes(docs: DataFrame, similarity: int = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, print, n_shingles), and (print, component) for prints of more than one document."""
     spark = docs.sparkSession
@@ -187,35 +220,39 @@ def classes(docs: DataFrame, similarity: int = SIMILARITY) -> tuple[DataFrame, D
     linked = rows.where("n_shingles > 0 and doc_id is not null")
     heads = written(linked.groupBy("print").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")), "dedup-classes")
     reps = linked.join(heads.select("print", F.col("rep").alias("doc_id")), ["print", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), "sketch")
-    keyed = written(groups(reps), "dedup-keys")
-    ids = keyed.select(F.col("rep").alias("doc_id")).distinct()
-    sets = written(docs.join(ids, "doc_id", "left_semi").mapInArrow(sets_of, "doc_id long, s array<long>"), "dedup-sets")
+    each = written(shared(reps), "dedup-shared")
+    both = each.groupBy("rep").agg(F.min("slot").alias("x"), F.max("slot").alias("y")).where(f"x < {M} and y >= {M}")
+    wanted = spark.sparkContext.broadcast(bitmap(both.select(F.col("rep").alias("id"))))
+    sets = written(docs.mapInArrow(lambda b: sets_of(b, wanted.value), "doc_id long, s array<long>").where("doc_id is not null"), "dedup-sets")
 
-    star = written(pivots(keyed, 0).select(F.col("rep").alias("m"), "pivot").distinct(), "dedup-star")
+    star = written(pivots(written(diagonal(each), "dedup-keys"), 0).select(F.col("rep").alias("m"), "pivot").distinct(), "dedup-star")
     first = ordered(star.groupBy("m").agg(F.min("pivot").alias("p")), "m", "p")
     links = written(confirmed(first, sets, similarity), "dedup-links")
     comps = components(links)
-    rest = written(apart(ordered(star, "m", "pivot").join(first, ["a", "b"], "left_anti"), comps), "dedup-pairs")
     tested = written(ordered(star, "m", "pivot"), "dedup-tested")
+    rest = written(apart(tested.join(first, ["a", "b"], "left_anti"), comps), "dedup-pairs")
+    links = links.unionByName(written(confirmed(rest, sets, similarity), "dedup-links"))
+    comps = components(links)
+
+    open_ = in_components(each, comps)
+    several = open_.groupBy("v").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("v")
+    keyed = written(tables(open_.join(several, "v", "left_semi").select("rep", "slot", "v")), "dedup-keys")
     turn = 0
-    while rest.take(1):
-        found = written(confirmed(rest, sets, similarity), "dedup-links")
-        if found.take(1):
-            links = links.unionByName(found)
-            comps = components(links)
-        elif turn:
-            break
-        turn += 1
-        member = keyed.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
-        mixed_groups = member.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y and n > 2").select("key", "n")
-        member = written(member.join(mixed_groups, "key"), "dedup-mixed")
+    while True:
+        member = in_components(keyed, comps)
+        groups = member.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y").select("key", "n")
+        member = written(member.join(groups, "key"), "dedup-mixed")
         few, many = member.where(F.col("n") <= SMALL_GROUP), member.where(F.col("n") > SMALL_GROUP)
         more = pivots(many.select("key", "rep"), turn).select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
-        if turn == 1:  # groups of at most SMALL_GROUP members: all their pairs
+        if turn == 0:
             other = few.select("key", F.col("rep").alias("b"), F.col("c").alias("cb"))
             more = more.unionByName(few.select("key", F.col("rep").alias("a"), F.col("c").alias("ca")).join(other, "key").where("a < b and ca <> cb").select("a", "b"))
         rest = written(apart(more.distinct().join(tested, ["a", "b"], "left_anti"), comps), "dedup-pairs")
-        tested = tested.unionByName(rest)
+        found = written(confirmed(rest, sets, similarity), "dedup-links")
+        if not found.take(1) and (turn or not many.take(1)):  # large groups draw at least twice
+            break
+        links, tested, turn = links.unionByName(found), tested.unionByName(rest), turn + 1
+        comps = components(links)
     head = heads.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     head = head.withColumn("component", F.coalesce("component", "rep")).where("rep <> last or component <> rep").select("print", "component")
     return rows.select("doc_id", "print", "n_shingles"), written(head, "dedup-components")
