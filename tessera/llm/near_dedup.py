@@ -9,17 +9,21 @@ tables of 2k minhashes each come from 2 * m * k minhashes instead of
 
 Documents with equal sets form a class, which its least doc_id stands for, so
 copies meet no pairs. Sketches that no other class has are dropped first, as a
-key made of one can't be shared; most documents end there. Then the m tables of
-equally numbered sketches are searched, which finds most links and joins large
-groups of copies. Of the sketches, only those are kept that classes of different
-components still share, and all m * m tables are made of them.
-
-In the group of a table key, a pivot, drawn by a hash of the key, is paired with
-the other members, so pairs grow with the members; each member is first checked
-against one of its pivots, and other pairs only where that left the two in
-different components. Of the groups of the m * m tables, small ones have all
-pairs of different components checked, large ones draw new pivots until a round
-finds no link. Every link is confirmed on full sets.
+key made of one can't be shared; most documents end there. A class's weight is
+the number of classes that have its sketches: in a group of near copies, the one
+they were all made from is heaviest. Then the m tables of equally numbered
+sketches are searched: in the group of each table key the heaviest class, the
+pivot, is paired with the others, so pairs grow with the members, and copies
+that are like their origin but not each other still meet it. Each member is
+first checked against its heaviest pivot; other pairs only where that left the
+two in different components.
+
+What is left are sketches that classes of different components share. Of them
+all m * m tables are made, with at most ``REPRESENTATIVES`` members of one
+component for one sketch, heaviest first. In groups of at most ``SMALL_GROUP``
+members all pairs of different components are checked, in others the pairs of
+the components' heaviest members. Further rounds draw members by other hashes,
+until one finds no link. Every link is confirmed on full sets.
 
 Sketches and sets are computed in Arrow batches with numpy, and sets only for
 documents that share sketches; which those are goes to the tasks as a bitmap of
@@ -41,7 +45,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import bare, small_batches, written
@@ -52,6 +56,7 @@ SIMILARITY = 75  # percent
 K = 3
 M = 16
 SMALL_GROUP = 16
+REPRESENTATIVES = 16
 MIN_BITS, MAX_BITS = 1 << 20, 1 << 28
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -147,23 +152,29 @@ def sets_of(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[p
 
 
 def shared(reps: DataFrame) -> DataFrame:
-    """(rep, slot, v): the sketches of each class that another class has too."""
+    """(rep, slot, v, n): the sketches of each class that n > 1 classes have."""
     each = reps.select("rep", F.posexplode("sketch").alias("slot", "v"))
-    several = each.groupBy("v").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y").select("v")
-    return each.join(several, "v", "left_semi").select("rep", "slot", "v")
+    several = each.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return each.join(several, "v").select("rep", "slot", "v", "n")
+
+
+def weights(each: DataFrame) -> DataFrame:
+    """(rep, weight) of the classes that share sketches from either collection."""
+    of = each.groupBy("rep").agg(F.sum("n").alias("weight"), F.min("slot").alias("x"), F.max("slot").alias("y"))
+    return of.where(f"x < {M} and y >= {M}").select("rep", "weight")
 
 
 def diagonal(each: DataFrame) -> DataFrame:
     """(key, rep) for the tables of equally numbered sketches."""
     one, two = F.max(F.when(F.col("slot") < M, F.col("v"))).alias("one"), F.max(F.when(F.col("slot") >= M, F.col("v"))).alias("two")
-    both = each.groupBy("rep", (F.col("slot") % M).alias("n")).agg(one, two).where("one is not null and two is not null")
+    both = each.groupBy("rep", (F.col("slot") % M).alias("k")).agg(one, two).where("one is not null and two is not null")
     return both.select(F.xxhash64("one", "two").alias("key"), "rep")
 
 
 def tables(each: DataFrame) -> DataFrame:
-    """(key, rep) for all pairs of a class's sketches from the two collections."""
-    of = each.groupBy("rep").agg(F.collect_list(F.when(F.col("slot") < M, F.col("v"))).alias("one"), F.collect_list(F.when(F.col("slot") >= M, F.col("v"))).alias("two"))
-    return of.select("rep", "two", F.explode("one").alias("u")).select("rep", "u", F.explode("two").alias("w")).select(F.xxhash64("u", "w").alias("key"), "rep")
+    """(key, rep, c, weight) for all pairs of a class's sketches from the two collections."""
+    of = each.groupBy("rep", "c", "weight").agg(F.collect_list(F.when(F.col("slot") < M, F.col("v"))).alias("one"), F.collect_list(F.when(F.col("slot") >= M, F.col("v"))).alias("two"))
+    return of.select("rep", "c", "weight", "two", F.explode("one").alias("u")).select("rep", "c", "weight", "u", F.explode("two").alias("w")).select(F.xxhash64("u", "w").alias("key"), "rep", "c", "weight")
 
 
 def bitmap(ids: DataFrame) -> np.ndarray:
@@ -177,12 +188,29 @@ def bitmap(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def pivots(keyed: DataFrame, turn: int) -> DataFrame:
-    """(a, pivot) for each group's members but its pivot, which is drawn by a hash of the key."""
-    mask = F.xxhash64("key", F.lit(turn))
-    drawn = keyed.groupBy("key").agg(F.min(F.col("rep").bitwiseXOR(mask)).alias("low"), F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y")
-    drawn = drawn.select("key", F.col("low").bitwiseXOR(mask).alias("pivot"))
-    return keyed.join(drawn, "key").where("rep <> pivot")
+def heaviest() -> Column:
+    """An aggregate: the heaviest class, of equal ones the least."""
+    return F.max(F.struct("weight", (-F.col("rep")).alias("minus")))
+
+
+def pivots(keyed: DataFrame) -> DataFrame:
+    """(rep, pivot, weight of the pivot) for each group's members but its heaviest, from (key, rep, weight)."""
+    drawn = keyed.groupBy("key").agg(heaviest().alias("h"), F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y")
+    drawn = drawn.select("key", (-F.col("h.minus")).alias("pivot"), F.col("h.weight").alias("heavy"))
+    return keyed.select("key", "rep").join(drawn, "key").where("rep <> pivot").select("rep", "pivot", "heavy")
+
+
+def crossing(keyed: DataFrame) -> DataFrame:
+    """(a, b): pairs of different components in the groups of (key, rep, c, weight)."""
+    mixed_groups = keyed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y").select("key", "n")
+    member = keyed.join(mixed_groups, "key")
+    few = member.where(F.col("n") <= SMALL_GROUP).select("key", "rep", "c")
+    one = member.where(F.col("n") > SMALL_GROUP).groupBy("key", "c").agg(heaviest().alias("h"))
+    one = one.select("key", (-F.col("h.minus")).alias("rep"), "c", F.col("h.weight").alias("weight"))
+    star = pivots(one).select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
+    other = few.select("key", F.col("rep").alias("b"), F.col("c").alias("cb"))
+    pairs = few.select("key", F.col("rep").alias("a"), F.col("c").alias("ca")).join(other, "key").where("a < b and ca <> cb")
+    return pairs.select("a", "b").unionByName(star).distinct()
 
 
 def ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -221,38 +249,39 @@ def classes(docs: DataFrame, similarity: int = SIMILARITY) -> tuple[DataFrame, D
     heads = written(linked.groupBy("print").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")), "dedup-classes")
     reps = linked.join(heads.select("print", F.col("rep").alias("doc_id")), ["print", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), "sketch")
     each = written(shared(reps), "dedup-shared")
-    both = each.groupBy("rep").agg(F.min("slot").alias("x"), F.max("slot").alias("y")).where(f"x < {M} and y >= {M}")
-    wanted = spark.sparkContext.broadcast(bitmap(both.select(F.col("rep").alias("id"))))
+    weight = written(weights(each), "dedup-weights")
+    wanted = spark.sparkContext.broadcast(bitmap(weight.select(F.col("rep").alias("id"))))
     sets = written(docs.mapInArrow(lambda b: sets_of(b, wanted.value), "doc_id long, s array<long>").where("doc_id is not null"), "dedup-sets")
+    each = each.select("rep", "slot", "v").join(weight, "rep")
 
-    star = written(pivots(written(diagonal(each), "dedup-keys"), 0).select(F.col("rep").alias("m"), "pivot").distinct(), "dedup-star")
-    first = ordered(star.groupBy("m").agg(F.min("pivot").alias("p")), "m", "p")
+    star = pivots(diagonal(each).join(weight, "rep"))
+    star = written(star.groupBy(F.col("rep").alias("m"), "pivot").agg(F.max("heavy").alias("heavy")), "dedup-star")
+    best = star.groupBy("m").agg(F.max(F.struct("heavy", (-F.col("pivot")).alias("minus"))).alias("h"))
+    first = ordered(best.select("m", (-F.col("h.minus")).alias("p")), "m", "p")
     links = written(confirmed(first, sets, similarity), "dedup-links")
     comps = components(links)
-    tested = written(ordered(star, "m", "pivot"), "dedup-tested")
-    rest = written(apart(tested.join(first, ["a", "b"], "left_anti"), comps), "dedup-pairs")
-    links = links.unionByName(written(confirmed(rest, sets, similarity), "dedup-links"))
-    comps = components(links)
-
-    open_ = in_components(each, comps)
-    several = open_.groupBy("v").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("v")
-    keyed = written(tables(open_.join(several, "v", "left_semi").select("rep", "slot", "v")), "dedup-keys")
+    tested = ordered(star, "m", "pivot")
     turn = 0
     while True:
-        member = in_components(keyed, comps)
-        groups = member.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y").select("key", "n")
-        member = written(member.join(groups, "key"), "dedup-mixed")
-        few, many = member.where(F.col("n") <= SMALL_GROUP), member.where(F.col("n") > SMALL_GROUP)
-        more = pivots(many.select("key", "rep"), turn).select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
         if turn == 0:
-            other = few.select("key", F.col("rep").alias("b"), F.col("c").alias("cb"))
-            more = more.unionByName(few.select("key", F.col("rep").alias("a"), F.col("c").alias("ca")).join(other, "key").where("a < b and ca <> cb").select("a", "b"))
-        rest = written(apart(more.distinct().join(tested, ["a", "b"], "left_anti"), comps), "dedup-pairs")
+            rest = apart(tested.join(first, ["a", "b"], "left_anti"), comps)
+        else:
+            member = in_components(each, comps)
+            if turn > 1:  # another order of members
+                member = member.withColumn("weight", F.pmod(F.xxhash64(F.lit(turn), "rep"), F.lit(1 << 40)))
+            several = member.groupBy("v").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("v")
+            place = F.row_number().over(Window.partitionBy("v", "c").orderBy(F.desc("weight"), "rep"))
+            few = member.join(several, "v", "left_semi").withColumn("place", place).where(F.col("place") <= REPRESENTATIVES)
+            rest = crossing(written(tables(few.select("rep", "slot", "v", "c", "weight")), "dedup-keys")).join(tested, ["a", "b"], "left_anti")
+        rest = written(rest, "dedup-pairs")
         found = written(confirmed(rest, sets, similarity), "dedup-links")
-        if not found.take(1) and (turn or not many.take(1)):  # large groups draw at least twice
+        tested = tested.unionByName(rest) if turn else tested
+        if found.take(1):
+            links = links.unionByName(found)
+            comps = components(links)
+        elif turn > 1:
             break
-        links, tested, turn = links.unionByName(found), tested.unionByName(rest), turn + 1
-        comps = components(links)
+        turn += 1
     head = heads.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     head = head.withColumn("component", F.coalesce("component", "rep")).where("rep <> last or component <> rep").select("print", "component")
     return rows.select("doc_id", "print", "n_shingles"), written(head, "dedup-components")
