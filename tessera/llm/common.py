@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import os
+import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,12 +50,13 @@ def bare(df: DataFrame, *names: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or an own one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset, a local one that goes with the process."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
-    own = f"file://{tempfile.gettempdir()}/checkpoints/{os.getpid()}"
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    own = f"{tempfile.gettempdir()}/checkpoints/{os.getpid()}"
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
+    return f"file://{own}"
 
 
 def new_path(spark: SparkSession, what: str) -> str:
@@ -68,13 +71,6 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, paths: Sequence[str]) -> None:
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(conf).delete(path, True)
-
-
 def shards(spark: SparkSession) -> int:
     """Key ranges for distributed prefix sums; results don't depend on it."""
     return max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
