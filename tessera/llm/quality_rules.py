@@ -37,15 +37,15 @@ MIX = 0.3
 SYMBOLS = "#*$%&|<>"
 
 
-def neighbours(tokens: Column) -> Column:
-    """(w, v) for each word w, v being the next word; null at the end."""
-    return F.arrays_zip(tokens.alias("w"), F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))).alias("v"))
+def neighbours(items: Column, name: str, after: str) -> Column:
+    """Each item with the next one, which is null at the end."""
+    return F.arrays_zip(items.alias(name), F.slice(items, 2, F.greatest(F.size(items) - 1, F.lit(0))).alias(after))
 
 
-def features(w: Column, v: Column, buckets: int) -> list[Column]:
-    """The buckets of the n-grams that begin at the word ``w`` before ``v``."""
-    hashed = lambda *parts: F.pmod(F.xxhash64(*parts), F.lit(buckets)).cast("int")
-    return [hashed(w), hashed(w, F.lit(2), v), hashed(F.substring(w, -3, 3), F.lit(3))]
+def features(h: Column, n: Column, w: Column, buckets: int) -> list[Column]:
+    """The buckets, a power of two, of the n-grams that begin at the word ``w`` of hash ``h`` before a word of hash ``n``."""
+    bucket = lambda x: x.bitwiseAND(F.lit(buckets - 1)).cast("int")
+    return [bucket(h), bucket(F.xxhash64(h, n)), bucket(F.xxhash64(F.substring(w, -3, 3)))]
 
 
 def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int, max_trusted: int, mix: float) -> Column:
@@ -55,8 +55,9 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int, max_trusted: in
     grams = (
         bare(docs, "doc_id", "text")
         .join(F.broadcast(good), "doc_id", "left")  # max_trusted rows at most
-        .select("trusted", F.inline(let(words(F.col("text")), neighbours)).alias("w", "v"))
-        .select("trusted", F.explode(F.array(*features(F.col("w"), F.col("v"), buckets))).alias("bucket"))
+        .select("trusted", F.inline(let(words(F.col("text")), lambda w: neighbours(w, "w", "v"))).alias("w", "v"))
+        .select("trusted", "w", F.xxhash64("w").alias("h"), F.when(F.col("v").isNotNull(), F.xxhash64("v")).alias("n"))
+        .select("trusted", F.explode(F.array(*features(F.col("h"), F.col("n"), F.col("w"), buckets))).alias("bucket"))
     )
     counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("trusted").alias("target"))
     dense = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").na.fill(0)
@@ -67,8 +68,8 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int, max_trusted: in
     return one.select(F.transform("a", ratio).alias("a")).scalar()
 
 
-def repeated_words(tokens: Column) -> Column:
-    """How many words stand in a 3-word window that the text holds at least twice."""
+def repeated_words(hashes: Column) -> Column:
+    """How many words, given as their hashes, stand in a 3-word window that the text holds at least twice."""
 
     def covered(at: Column) -> Column:  # ascending starts of such windows
         new = F.transform(at, lambda p, i: F.least(F.lit(3), F.coalesce(F.get(at, i + 1), p + 3) - p))
@@ -82,19 +83,21 @@ def repeated_words(tokens: Column) -> Column:
         placed = F.sort_array(F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
         return F.when(F.size(F.array_distinct(w)) == F.size(w), 0).otherwise(let(let(placed, starts), covered))
 
-    windows = F.transform(F.slice(tokens, 1, F.size(tokens) - 2), lambda x, i: F.xxhash64(x, F.get(tokens, i + 1), F.get(tokens, i + 2)))
-    return F.when(F.size(tokens) < 3, 0).otherwise(let(windows, of_windows))
+    n = F.size(hashes) - 2
+    three = F.arrays_zip(*[F.slice(hashes, F.lit(k + 1), n).alias(f"h{k}") for k in range(3)])
+    windows = F.transform(three, lambda x: F.xxhash64(x["h0"], x["h1"], x["h2"]))
+    return F.when(n < 1, 0).otherwise(let(windows, of_windows))
 
 
-def base_counts(text: Column, tokens: Column) -> dict[str, Column]:
+def base_counts(text: Column, hashes: Column) -> dict[str, Column]:
     text = F.coalesce(text, F.lit(""))
     filled = F.filter(F.split(text, "\n", -1), lambda x: F.translate(x, BLANKS, "") != "")
     return {
-        "n_words": F.size(tokens).cast("long"),
+        "n_words": F.size(hashes).cast("long"),
         "word_chars": F.length(F.translate(text, BLANKS, "")).cast("long"),
         "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
         "n_dup_lines": let(filled, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "n_repeat_words": repeated_words(tokens).cast("long"),
+        "n_repeat_words": repeated_words(hashes).cast("long"),
     }
 
 
@@ -102,7 +105,7 @@ def judge(
     docs: DataFrame,
     labels: DataFrame,
     *,
-    buckets: int = BUCKETS,
+    buckets: int = BUCKETS,  # a power of two
     max_trusted: int = MAX_TRUSTED,
     min_score: float = MIN_SCORE,
     mix: float = MIX,
@@ -113,12 +116,14 @@ def judge(
     read = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("text"), lr.alias("ratios"))  # a subquery can't stand inside a lambda's argument
 
     def all_of(s: Column) -> Column:
-        step = lambda a, x: a + sum((F.get(s["lr"], b) for b in features(x["w"], x["v"], buckets)), F.lit(0.0))
-        score = F.aggregate(neighbours(s["w"]), F.lit(0.0), step) / F.greatest(3 * F.size(s["w"]), F.lit(1))
-        return F.struct(*[c.alias(n) for n, c in base_counts(F.col("text"), s["w"]).items()], score.alias("score"))
-
-    measured = read.select("row", let(F.struct(words(F.col("text")).alias("w"), F.col("ratios").alias("lr")), all_of).alias("m"))
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score")
-    out = measured.select("row.*", *[F.col(f"m.{n}").alias(n) for n in names])
+        each = F.arrays_zip(s["h"].alias("h"), F.slice(s["h"], F.lit(2), F.size(s["h"])).alias("n"), s["w"].alias("w"))
+        step = lambda a, x: sum((F.get(s["lr"], b) for b in features(x["h"], x["n"], x["w"], buckets)), a)
+        score = F.aggregate(each, F.lit(0.0), step) / F.greatest(3 * F.size(s["w"]), F.lit(1))
+        return F.struct(*[c.alias(n) for n, c in base_counts(F.col("text"), s["h"]).items()], score.alias("score"))
+
+    hashed = lambda w: F.struct(w.alias("w"), F.transform(w, lambda x: F.xxhash64(x)).alias("h"), F.col("ratios").alias("lr"))
+    # generated columns: a filter on them isn't pushed below, where all would be computed anew for each of its terms
+    out = read.select("row", F.inline(F.array(let(let(words(F.col("text")), hashed), all_of))))
+    out = out.select("row.*", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= min_score))

@@ -103,7 +103,7 @@ def test_quality_scores(spark, documents, labels):
     good.discard(7)  # it also has a label of 0
     grams = {}
     pairs = spark.createDataFrame([(i, k, w[k], w[k + 1] if k + 1 < len(w) else None) for i, t in enumerate(texts) for w in [t.split()] for k in range(len(w))], "i long, k int, w string, v string")
-    for r in pairs.select("i", F.array(*quality_rules.features(F.col("w"), F.col("v"), buckets)).alias("f")).collect():
+    for r in pairs.select("i", F.array(*quality_rules.features(F.xxhash64("w"), F.when(F.col("v").isNotNull(), F.xxhash64("v")), F.col("w"), buckets)).alias("f")).collect():
         grams.setdefault(r.i, []).extend(r.f)
     raw, target = Counter(), Counter()
     for i, f in grams.items():
