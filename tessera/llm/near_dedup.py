@@ -18,12 +18,15 @@ that are like their origin but not each other still meet it. Each member is
 first checked against its heaviest pivot; other pairs only where that left the
 two in different components.
 
-What is left are sketches that classes of different components share. Of them
-all m * m tables are made, with at most ``REPRESENTATIVES`` members of one
-component for one sketch, heaviest first. In groups of at most ``SMALL_GROUP``
-members all pairs of different components are checked, in others the pairs of
-the components' heaviest members. Further rounds draw members by other hashes,
-until one finds no link. Every link is confirmed on full sets.
+What is left are classes that share a sketch from either collection with classes
+of other components, so all that could still meet in any of the m * m tables. All
+similar pairs among them that join two components are found by an exact search,
+without a cap and in one pass: a global order of shingles is fixed, those held by
+fewest classes first, and sets that are similar enough share one of their first
+shingles in that order, of so many that too few would follow them otherwise.
+Shingles of one component join nothing and so are only counted, which leaves few
+for the pages on one template: their first shingles are their own. Every link is
+confirmed on full sets.
 
 Sketches and sets are computed in Arrow batches with numpy, and sets only for
 documents that share sketches; which those are goes to the tasks as a bitmap of
@@ -55,8 +58,6 @@ SHINGLE = 5
 SIMILARITY = 75  # percent
 K = 3
 M = 16
-SMALL_GROUP = 16
-REPRESENTATIVES = 16
 MIN_BITS, MAX_BITS = 1 << 20, 1 << 28
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -171,12 +172,6 @@ def diagonal(each: DataFrame) -> DataFrame:
     return both.select(F.xxhash64("one", "two").alias("key"), "rep")
 
 
-def tables(each: DataFrame) -> DataFrame:
-    """(key, rep, c, weight) for all pairs of a class's sketches from the two collections."""
-    of = each.groupBy("rep", "c", "weight").agg(F.collect_list(F.when(F.col("slot") < M, F.col("v"))).alias("one"), F.collect_list(F.when(F.col("slot") >= M, F.col("v"))).alias("two"))
-    return of.select("rep", "c", "weight", "two", F.explode("one").alias("u")).select("rep", "c", "weight", "u", F.explode("two").alias("w")).select(F.xxhash64("u", "w").alias("key"), "rep", "c", "weight")
-
-
 def bitmap(ids: DataFrame) -> np.ndarray:
     """The ids of a column ``id`` as set bits; of so few bits that the driver and every task can hold them, so others may share a bit."""
     bits = min(max(1 << (8 * ids.count()).bit_length(), MIN_BITS), MAX_BITS)
@@ -200,19 +195,6 @@ def pivots(keyed: DataFrame) -> DataFrame:
     return keyed.select("key", "rep").join(drawn, "key").where("rep <> pivot").select("rep", "pivot", "heavy")
 
 
-def crossing(keyed: DataFrame) -> DataFrame:
-    """(a, b): pairs of different components in the groups of (key, rep, c, weight)."""
-    mixed_groups = keyed.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y").select("key", "n")
-    member = keyed.join(mixed_groups, "key")
-    few = member.where(F.col("n") <= SMALL_GROUP).select("key", "rep", "c")
-    one = member.where(F.col("n") > SMALL_GROUP).groupBy("key", "c").agg(heaviest().alias("h"))
-    one = one.select("key", (-F.col("h.minus")).alias("rep"), "c", F.col("h.weight").alias("weight"))
-    star = pivots(one).select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
-    other = few.select("key", F.col("rep").alias("b"), F.col("c").alias("cb"))
-    pairs = few.select("key", F.col("rep").alias("a"), F.col("c").alias("ca")).join(other, "key").where("a < b and ca <> cb")
-    return pairs.select("a", "b").unionByName(star).distinct()
-
-
 def ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
@@ -239,6 +221,31 @@ def in_components(rows: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
 
 
+def unsettled(each: DataFrame, comps: DataFrame) -> DataFrame:
+    """(rep, c): classes that share sketches from both collections with other components, of (rep, slot, v)."""
+    member = in_components(each, comps)
+    several = member.groupBy("v").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("v")
+    of = member.join(several, "v", "left_semi").groupBy("rep", "c").agg(F.min("slot").alias("x"), F.max("slot").alias("y"))
+    return of.where(f"x < {M} and y >= {M}").select("rep", "c")
+
+
+def crossing(members: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """(a, b): pairs of different components that hold all similar ones, of members (rep, c)."""
+    every = members.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "c", F.size("s").alias("n"), F.xxhash64("s").alias("print"), F.explode("s").alias("v"))
+    joint = every.groupBy("v").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count(F.lit(1)).alias("often")).where("x <> y").select("v", "often")
+    # the shingles of a set from this one on; equal rows of a repeated document have equal ranks
+    left = F.dense_rank().over(Window.partitionBy("rep", "print").orderBy(F.desc("often"), F.desc("v")))
+    first = every.join(joint, "v").withColumn("left", left).where(100 * F.col("left") >= similarity * F.col("n")).select("v", "rep", "c", "n", "left")
+    first = written(first, "dedup-firsts")
+    names = ("rep", "c", "n", "left")
+    # two sets have (100 + similarity) * common >= similarity * (sum of sizes); of the smaller one, that is at least twice its size
+    small = first.where((100 + similarity) * F.col("left") >= 2 * similarity * F.col("n")).select("v", *[F.col(x).alias(f"{x}_a") for x in names])
+    large = first.select("v", *[F.col(x).alias(f"{x}_b") for x in names])
+    like = f"c_a <> c_b and (n_a < n_b or n_a = n_b and rep_a < rep_b) and 100 * n_a >= {similarity} * n_b"
+    enough = f"{100 + similarity} * least(left_a, left_b) >= {similarity} * (n_a + n_b)"
+    return ordered(small.join(large, "v").where(f"{like} and {enough}"), "rep_a", "rep_b")
+
+
 def classes(docs: DataFrame, similarity: int = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, print, n_shingles), and (print, component) for prints of more than one document."""
     spark = docs.sparkSession
@@ -261,27 +268,14 @@ def classes(docs: DataFrame, similarity: int = SIMILARITY) -> tuple[DataFrame, D
     links = written(confirmed(first, sets, similarity), "dedup-links")
     comps = components(links)
     tested = ordered(star, "m", "pivot")
-    turn = 0
-    while True:
-        if turn == 0:
-            rest = apart(tested.join(first, ["a", "b"], "left_anti"), comps)
-        else:
-            member = in_components(each, comps)
-            if turn > 1:  # another order of members
-                member = member.withColumn("weight", F.pmod(F.xxhash64(F.lit(turn), "rep"), F.lit(1 << 40)))
-            several = member.groupBy("v").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("v")
-            place = F.row_number().over(Window.partitionBy("v", "c").orderBy(F.desc("weight"), "rep"))
-            few = member.join(several, "v", "left_semi").withColumn("place", place).where(F.col("place") <= REPRESENTATIVES)
-            rest = crossing(written(tables(few.select("rep", "slot", "v", "c", "weight")), "dedup-keys")).join(tested, ["a", "b"], "left_anti")
-        rest = written(rest, "dedup-pairs")
-        found = written(confirmed(rest, sets, similarity), "dedup-links")
-        tested = tested.unionByName(rest) if turn else tested
+    for rest in (
+        lambda: apart(tested.join(first, ["a", "b"], "left_anti"), comps),
+        lambda: crossing(written(unsettled(each, comps), "dedup-unsettled"), sets, similarity).join(tested, ["a", "b"], "left_anti"),
+    ):
+        found = written(confirmed(written(rest(), "dedup-pairs"), sets, similarity), "dedup-links")
         if found.take(1):
             links = links.unionByName(found)
             comps = components(links)
-        elif turn > 1:
-            break
-        turn += 1
     head = heads.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     head = head.withColumn("component", F.coalesce("component", "rep")).where("rep <> last or component <> rep").select("print", "component")
     return rows.select("doc_id", "print", "n_shingles"), written(head, "dedup-components")

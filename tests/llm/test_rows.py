@@ -233,3 +233,25 @@ def test_sketches_meet_as_often_as_said():
             hit = a == b
             missed += not (hit[: near_dedup.M].any() and hit[near_dedup.M :].any())
     assert missed <= 2
+
+
+def on_template(n, pairs, rng):
+    """n pages of 504 common words and 96 own ones, of which each two of the first 2 * pairs have 17 in common: similarity 0.757, all others 0.714."""
+    fresh = lambda k: [f"w{x}" for x in rng.integers(0, 2**62, k)]
+    template, pages = fresh(504), []
+    for i in range(n):
+        if i % 2 == 0 or i >= 2 * pairs:
+            shared = fresh(17)
+        pages.append((i, " ".join(template + shared + fresh(79))))
+    return pages
+
+
+def components_of(found):
+    return {r.doc_id: r.component_id for r in found.collect()}
+
+
+def test_near_dedup_of_pages_on_one_template(documents):
+    import numpy as np
+
+    got = components_of(near_dedup.near_duplicates(documents(on_template(400, 200, np.random.default_rng(5)))))
+    assert got == {i: i - i % 2 for i in range(400)}
