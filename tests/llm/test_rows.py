@@ -255,3 +255,22 @@ def test_near_dedup_of_pages_on_one_template(documents):
 
     got = components_of(near_dedup.near_duplicates(documents(on_template(400, 200, np.random.default_rng(5)))))
     assert got == {i: i - i % 2 for i in range(400)}
+
+
+def test_near_dedup_of_copies_of_single_members(documents):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    fresh = lambda k: [f"w{x}" for x in rng.integers(0, 2**62, k)]
+
+    def edited(words, n):
+        out = list(words)
+        for i, w in zip(rng.choice(len(words) // 5, n, replace=False), fresh(n), strict=True):
+            out[5 * i + 2] = w
+        return out
+
+    origin = fresh(400)
+    members = [edited(origin, 8) for _ in range(400)]  # similarity 0.82 to the origin
+    copies = [edited(m, 10) for m in members[:100]]  # about 0.77 to its member, less than 0.75 to others
+    rows = [(i, " ".join(w)) for i, w in enumerate([origin, *members, *copies])]
+    assert set(components_of(near_dedup.near_duplicates(documents(rows))).values()) == {0}
