@@ -160,6 +160,14 @@ def test_licenses(documents):
     assert license_scan.scan(documents(rows), {}).count() == 0
 
 
+def test_licenses_of_other_families(documents):
+    names = ("CC-BY-NC-4.0-line", "CC-BY-NC-SA-4.0-line", "BSD-3-Clause", "LGPL-2.1", "AGPL-3.0", "Unlicense", "GPL-2-text", "Apache-2.0-text")
+    rows = [(i, f"some words before it\n{license_scan.TEMPLATES.get(n, '')} and after") for i, n in enumerate(names)]
+    rows.append((len(names), "A page. Licensed under CC BY-NC 4.0.\nMore of it."))
+    got = {(r.doc_id, r.license) for r in license_scan.scan(documents(rows)).collect()}
+    assert {*enumerate(names), (len(names), "CC-BY-NC-4.0-line")} <= got
+
+
 # -- site quality
 
 
