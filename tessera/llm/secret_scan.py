@@ -1,16 +1,18 @@
 """Secret scans: fixed patterns, and two character Markov models.
 
 Base spans come from the three patterns below. The models add spans: runs of at
-least ``MIN_RUN`` key characters that touch no base span are scored by the
-log-likelihood ratio of a first-order Markov model of random strings to one of
-ordinary identifiers, per transition, and those over ``threshold`` are secrets
-of kind ``markov``. Both models are counted from labelled samples (token,
-secret): random strings in the usual alphabets, and identifiers and words of
-documents that are labelled good. The model is a table of 128 x 128 ratios.
-
-Only DataFrame functions are used; texts are not shuffled. Work is linear in the
-text but for documents with very many matches, whose list of spans is copied
-once for each.
+least ``MIN_RUN`` key characters, in what base spans leave of the text, are
+scored by the log-likelihood ratio of a first-order Markov model of random
+strings to one of ordinary identifiers, per transition, and those over
+``threshold`` are secrets of kind ``markov``. Of a run that is not, each stretch
+that is random enough is one: from where the sum of what the ratios have above
+the threshold is lowest so far to its peak before it falls as low again. Both
+models are counted from labelled samples (token, secret): random strings in the
+usual alphabets, and identifiers and words of documents that are labelled good.
+The model is a table of 128 x 128 ratios.
+
+Only DataFrame functions are used; texts are not shuffled. Work is n log n in the
+text, however many spans it has.
 
 Defined results
 - null or empty text: no spans; the hash is that of the empty string.
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import array_of, bare, let
-from tessera.llm.spans import disjoint, find, replaced
+from tessera.llm.spans import PLACE, blanked, find, merged, replaced, scanned
 
 #: Fixed patterns. For access and hex the least length is part of the pattern, which finds the same runs.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -37,6 +39,9 @@ MIN_RUN = 16
 RUN = r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN
 #: Nats per transition. Between the two classes' held-out scores, nearer to the random ones.
 THRESHOLD = 0.5
+#: Of a stretch within a run: its least length, as random ends may not score, and the nats that its ratios have above the threshold in all.
+MIN_STRETCH = 12
+EXCESS = 5.0
 #: Labelled documents that lend words to the model of ordinary identifiers: those of least hash, at most so many.
 MAX_LABELLED = 2000
 RANDOM_SAMPLES = 8000
@@ -105,9 +110,56 @@ def model(docs: DataFrame, labels: DataFrame) -> Column:
     return train(random_samples(spark).unionByName(name_samples(spark)).unionByName(word_samples(docs, labels)))
 
 
+def ratios_of(token: Column, ratios: Column) -> Column:
+    return let(F.struct(transitions(token).alias("t"), ratios.alias("r")), lambda s: F.transform(s["t"], lambda x: F.get(s["r"], x)))
+
+
+def mean(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size(values), F.lit(1))
+
+
 def score(token: Column, ratios: Column) -> Column:
     """Mean log-likelihood ratio of random to ordinary over a token's transitions."""
-    return let(F.struct(transitions(token).alias("t"), ratios.alias("r")), lambda s: F.aggregate(s["t"], F.lit(0.0), lambda a, x: a + F.get(s["r"], x)) / F.greatest(F.size(s["t"]), F.lit(1)))
+    return let(ratios_of(token, ratios), mean)
+
+
+def stretches(values: Column, threshold: float) -> Column:
+    """(start, end) within a run of the random stretches, from the ratios of its transitions."""
+
+    def most(v: Column) -> Column:
+        """The greatest rise of the sum."""
+        step = lambda a, x: F.struct(F.greatest(a["sum"] + x - threshold, F.lit(0.0)).alias("sum"), F.greatest(a["best"], a["sum"] + x - threshold).alias("best"))
+        return F.aggregate(v, F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("best")), step, lambda a: a["best"])
+
+    def of(sums: Column) -> Column:
+        placed = F.transform(sums, lambda x, i: F.struct(x.alias("low"), i.alias("at")))
+
+        def with_lows(lows: Column) -> Column:  # where the sum was lowest so far: stretches begin there
+            peaks = F.transform(sums, lambda x, i: F.struct(F.get(lows, i).alias("low"), x.alias("high"), i.alias("at")))
+            later = lambda a, b: F.when((a["low"]["at"] == b["low"]["at"]) & (a["high"] >= b["high"]), a).otherwise(b)
+            return let(scanned(peaks, later), last)
+
+        def last(peaks: Column) -> Column:
+            ended = F.filter(peaks, lambda x, i: F.coalesce(F.get(peaks, i + 1)["low"]["at"] != x["low"]["at"], F.lit(True)))
+            fine = F.filter(ended, lambda x: (x["high"] - x["low"]["low"] >= EXCESS) & (x["at"] - x["low"]["at"] >= MIN_STRETCH - 1))
+            # the sum at i stands before the transition from character i to the next
+            return F.transform(fine, lambda x: F.struct(x["low"]["at"].alias("start"), (x["at"] + 1).alias("end")))
+
+        return let(scanned(placed, lambda a, b: F.least(a, F.struct(b["low"].alias("low"), b["at"].alias("at")))), with_lows)
+
+    sums = lambda v: let(scanned(F.concat(F.array(F.lit(0.0)), F.transform(v, lambda x: x - threshold)), lambda a, b: a + b), of)
+    return F.when(most(values) >= EXCESS, sums(values)).otherwise(F.array()).cast(PLACE)
+
+
+def random_places(run: Column, ratios: Column, threshold: float) -> Column:
+    """(start, end) in the text of what is random in a run: all of it, or stretches."""
+    place = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
+
+    def of(v: Column) -> Column:
+        parts = F.transform(stretches(v, threshold), lambda x: place(run["start"] + x["start"], run["start"] + x["end"]))
+        return F.when(mean(v) > threshold, F.array(place(run["start"], run["end"]))).otherwise(parts)
+
+    return let(ratios_of(run["hit"], ratios), of)
 
 
 def all_spans(text: Column, ratios: Column, threshold: float) -> Column:
@@ -115,14 +167,15 @@ def all_spans(text: Column, ratios: Column, threshold: float) -> Column:
     text = F.coalesce(text, F.lit(""))
     of_kind = lambda found, k: F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end")))
     assign = F.filter(find(text, ASSIGN, 2), lambda x: F.length(x["part"]) >= MIN_ASSIGN)
-    base = F.concat(of_kind(assign, 0), of_kind(find(text, ACCESS), 1), of_kind(find(text, HEX), 2))
+    base = F.sort_array(F.concat(of_kind(assign, 0), of_kind(find(text, ACCESS), 1), of_kind(find(text, HEX), 2)))
 
     def with_markov(s: Column) -> Column:
-        clear = lambda x: ~F.exists(s["base"], lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-        random = F.filter(s["runs"], lambda x: clear(x) & (score(x["hit"], s["r"]) > threshold))
+        # base spans are cut out, so that runs end there
+        rest = F.when(F.size(s["base"]) > 0, blanked(text, merged(s["base"]))).otherwise(text)
+        random = let(rest, lambda t: F.flatten(F.transform(find(t, RUN), lambda x: random_places(x, s["r"], threshold))))
         return F.sort_array(F.concat(s["base"], of_kind(random, 3)))
 
-    return let(F.struct(base.alias("base"), find(text, RUN).alias("runs"), ratios.alias("r")), with_markov)
+    return let(F.struct(base.alias("base"), ratios.alias("r")), with_markov)
 
 
 def with_spans(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -149,9 +202,9 @@ def scan(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> Da
 def redacted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` with every span replaced by a mask, and n_chars, if there, counted anew."""
     out = with_spans(docs, labels, threshold)
-    merged = F.transform(disjoint(F.col("spans"), "array<struct<start:int,end:int>>"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(MASK).alias("new")))
+    masks = F.transform(merged(F.col("spans")), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(MASK).alias("new")))
     found = F.size("spans") > 0
-    new = F.col("row").withField("text", F.when(found, replaced(F.col("text"), merged)).otherwise(F.col("text")))
+    new = F.col("row").withField("text", F.when(found, replaced(F.col("text"), masks)).otherwise(F.col("text")))
     out = out.select("spans", new.alias("row"))
     if "n_chars" in docs.columns:
         out = out.withColumn("row", F.col("row").withField("n_chars", F.when(F.size("spans") > 0, F.length("row.text").cast("long")).otherwise(F.col("row.n_chars"))))

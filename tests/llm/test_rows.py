@@ -79,6 +79,59 @@ def test_markov_spans(documents, labels):
     assert row.spans == "markov:4:28" and text[4:28] == "qX7vT2mZ9LkR4pWb8NcY1sDf"
 
 
+def test_markov_stretches(documents, labels):
+    """Random keys beside ordinary words and base spans, in one run of key characters."""
+    rng = random.Random(8)
+    key = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    rows = [(i, f"see com/users/account/settings/reset/{key(24)}") for i in range(100)]
+    rows += [(100 + i, f"AKIA{'ABCDEFGH' * 2}/{key(32)} and {HEX}_{key(32)}") for i in range(100)]
+    rows += [(200, "see com/users/account/settings/reset/password/of/the/user and get_user_account_name_of_index")]
+    found = {r.doc_id: r for r in secret_scan.scan(documents(rows), labels([])).collect()}
+    assert sum(found[i].n_markov == 1 for i in range(100)) >= 95
+    assert sum(found[i].n_markov == 2 for i in range(100, 200)) >= 95
+    assert found[200].spans == ""
+    for i, text in rows:
+        for s in filter(None, found[i].spans.split(",")):
+            kind, a, b = s.split(":")
+            if kind == "markov" and i < 100:
+                assert int(a) <= len(text) - 20 and int(b) >= len(text) - 4
+
+
+def test_secrets_of_dense_texts(documents, labels):
+    """100,000 matches in one text: within seconds, and masked; no match is compared with all others."""
+    rng = random.Random(9)
+    text = " ".join("%016x" % rng.getrandbits(64) for _ in range(100_000))
+    (row,) = secret_scan.scan(documents([(1, text)]), labels([])).collect()
+    assert (row.n_assign, row.n_access, row.n_hex, row.base_sha256) == brute.secrets(text)
+    assert secret_scan.redacted(documents([(1, text)]), labels([])).first().text == " ".join(["[SECRET]"] * 100_000)
+    assert secret_scan.scan(documents([]), labels([])).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_places(spark, seed):
+    """Prefix scans, and spans that overlap, against plain loops."""
+    from pyspark.sql import functions as F
+
+    from tessera.llm import spans
+
+    rng = random.Random(seed)
+    rows = []
+    for n in (0, 1, 2, 3, 7, 8, 9, 40):
+        s = sorted((a, a + rng.randrange(1, 9)) for a in (rng.randrange(60) for _ in range(n)))
+        want, sums, total = [], [], 0
+        for a, b in s:
+            total += b
+            sums.append(total)
+            if want and a < want[-1][1]:
+                want[-1] = (want[-1][0], max(want[-1][1], b))
+            else:
+                want.append((a, b))
+        rows.append((n, s, want, sums))
+    df = spark.createDataFrame([(n, s) for n, s, _, _ in rows], f"n int, s {spans.PLACE}")
+    out = df.select("n", spans.merged(F.col("s")).alias("m"), spans.scanned(F.transform("s", lambda x: x["end"]), lambda a, b: a + b).alias("t")).collect()
+    assert {r.n: ([tuple(x) for x in r.m], r.t) for r in out} == {n: (want, sums) for n, _, want, sums in rows}
+
+
 def test_quality_counts(table, labels):
     found = quality_rules.judge(table, labels([(14, 1, 0), (15, 0, 0)])).collect()
     assert len(found) == len(TEXTS) + 2
