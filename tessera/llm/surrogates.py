@@ -6,19 +6,30 @@ titles, followed by capitalised words, in Latin or Cyrillic script). Each is
 reduced to a canonical form, so that spellings of one entity ("+1 (555) 010-2345"
 and "+1 555 010 2345"; "Ms. Lopez" and "Maria Lopez") share it, and gets a
 surrogate drawn by a keyed hash: digits for digits and letters for letters in
-the same places, a valid check digit where there was one, names of the same
-gender and script. The surrogate is then written in the mention's own format.
+the same places, valid check digits (cards, bank accounts) where there were, names
+of the same gender and script. The surrogate is then written in the mention's own
+format.
+
+Gender is no part of a surname's identity, so "Mrs. Maria Lopez", "Ms. Lopez" and
+"Dr. Lopez" share one; Cyrillic surnames carry theirs in their ending. A given name
+after a neutral title has the gender that the document gives it elsewhere. A
+surname that a document introduces by title or given name is also replaced where
+the document has it alone, as a capitalised word.
 
 Collision checks: surrogates of all distinct entities of the corpus are compared
 with each other and with the entities themselves. Of several entities with one
 surrogate the first keeps it; the others, and those whose surrogate is somebody's
-real value, draw again with the next number, until nothing collides. So equal
-entities have equal surrogates in all documents and different ones different ones.
+real value, draw again with the next number, until nothing collides. Later draws
+are longer, one sign a draw, so the draws end however full a format's space is.
+So equal entities have equal surrogates in all documents and different ones
+different ones.
 
 Only DataFrame functions are used. Texts without an entity are passed on where
 they are; of the others, narrow mentions are shuffled to meet their surrogates,
 and texts to meet their mentions. Distinct entities are found by partial
-aggregates, so an entity with a third of all mentions is one row a task.
+aggregates, so an entity with a third of all mentions is one row a task. Patterns
+have no unbounded group loops (a domain has at most 127 labels of 63 signs), as
+those take stack for each turn.
 
 Defined results
 - null text: null, no entities. Empty or blank texts: unchanged.
@@ -28,16 +39,16 @@ Defined results
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import ascii_lower, let, written
-from tessera.llm.spans import find, replaced
+from tessera.llm.spans import blanked, find, replaced
 
 KEY = "change-me"
 #: Fixed patterns, in order of precedence.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![A-Za-z])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){0,125}\.[A-Za-z]{2,63}+",
     "iban": r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
     "card": r"(?<![\w.+-])(?:[0-9]{4}[ -]?){3}[0-9]{4}(?![\w-])|(?<![\w.+-])[0-9]{13,19}(?![\w-])",
@@ -54,7 +65,11 @@ _TITLE = "|".join(t for group in TITLES.values() for t in group)
 _GIVEN = "|".join(FEMALE + MALE)
 #: A name or title begins with a capital; this is looked at first, as it rules out most places.
 BEGIN = r"(?=[A-Z\u00C0-\u00DE\u0400-\u042F])(?<![\p{L}\p{N}])"
-PERSON = rf"{BEGIN}(?:(?:{_TITLE})\.? (?:{CAPITAL} )?{CAPITAL}|(?:{_GIVEN}) {CAPITAL})(?!\p{{L}})"
+#: A capitalised word alone.
+ALONE = rf"(?=[A-Z\u00C0-\u00DE\u0400-\u042F])(?<![\p{{L}}\p{{N}}@_%+-]){CAPITAL}(?![\p{{L}}\p{{N}}@_%+])"
+#: A capitalised word that is no title.
+NAME = rf"(?!(?:{_TITLE})(?!\p{{L}})){CAPITAL}"
+PERSON = rf"{BEGIN}(?:(?:{_TITLE})\.? (?:{NAME} )?{NAME}|(?:{_GIVEN}) {NAME})(?!\p{{L}})"
 ANY = "|".join([*PATTERNS.values(), PERSON])
 #: Any match implies a digit, an @, a title or a known name.
 HINT = rf"[0-9@]|{BEGIN}(?:{_TITLE}|{_GIVEN})\.? "
@@ -62,9 +77,11 @@ MENTION = "array<struct<start:int,end:int,kind:string,canon:string,hit:string>>"
 
 #: Syllables that surrogate names are made of, by script: consonants, vowels, and endings by role and gender.
 SOUNDS = {
-    "latin": ("bdfgklmnprstv", "aeiou", {"given:f": "a", "given:m": "n", "given:n": "el", "surname:f": "ard", "surname:m": "ard", "surname:n": "ard"}),
-    "cyrillic": ("бвгдзклмнпрст", "аеиоу", {"given:f": "на", "given:m": "р", "given:n": "ль", "surname:f": "ева", "surname:m": "ев", "surname:n": "ко"}),
+    "latin": ("bdfgklmnprstv", "aeiou", {"given:f": "a", "given:m": "n", "given:n": "el", "surname": "ard"}),
+    "cyrillic": ("бвгдзклмнпрст", "аеиоу", {"given:f": "на", "given:m": "р", "given:n": "ль", "surname": "ев"}),
 }
+#: Draws after which digits, and letters, become more.
+DIGITS_GROW, LETTERS_GROW = 8, 2
 
 
 def among(x: Column, options: list[str]) -> Column:
@@ -96,7 +113,7 @@ def name_parts(x: Column) -> Column:
             start = x["start"] + F.aggregate(F.slice(words, F.lit(1), i), F.lit(0), lambda a, v: a + F.length(v) + 1)
             script = F.when(w.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
             role = F.when(i == F.size(words) - 1, "surname").otherwise("given")
-            kind = F.when((i == 0) & among(F.rtrim(w, F.lit(".")), titles), "title").otherwise(F.concat_ws(":", role, gender, script))
+            kind = F.when((i == 0) & among(F.rtrim(w, F.lit(".")), titles), "title").when(role == "surname", F.concat_ws(":", role, script)).otherwise(F.concat_ws(":", role, gender, script))
             return F.struct(start.alias("start"), (start + F.length(w)).alias("end"), kind.alias("kind"), F.lower(w).alias("canon"), w.alias("hit"))
 
         return F.filter(F.transform(words, part), lambda m: m["kind"] != "title")
@@ -124,6 +141,12 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(F.reverse(F.split(digits, "")), each), F.lit(0), lambda a, x: a + x) % 10
 
 
+def mod97(signs: Column) -> Column:
+    """A number of digits and capitals (A is 10), modulo 97."""
+    step = lambda a, c: F.when(c.rlike("[0-9]"), a * 10 + c.cast("int")).otherwise(a * 100 + F.ascii(c) - 55) % 97
+    return F.aggregate(F.split(signs, ""), F.lit(0), lambda a, c: step(a, c).cast("int"))
+
+
 def drawn(kind: Column, canon: Column, turn: Column, key: str) -> Column:
     """The surrogate of a canonical form, as canonical form; ``turn`` counts the draws."""
     digest = lambda tag, what: F.concat(*[F.sha2(F.concat_ws("|", F.lit(key), F.lit(f"{tag}{i}"), kind, what, turn.cast("string")), 256) for i in range(2)])
@@ -134,6 +157,13 @@ def drawn(kind: Column, canon: Column, turn: Column, key: str) -> Column:
     def like(c: Column, n: Column) -> Column:
         return F.when(c.rlike("[0-9]"), (n % 10).cast("string")).when(c.rlike("[a-z]"), pick(lower, n)).when(c.rlike("[A-Z]"), pick(upper, n)).otherwise(c)
 
+    def more(after: int, signs: str) -> Column:
+        """Signs that a late draw has besides."""
+        other = F.sha2(F.concat_ws("|", F.lit(key), F.lit("more"), kind, canon, turn.cast("string")), 256)
+        return F.substring(F.translate(other, "0123456789abcdef", signs), F.lit(1), F.greatest(turn - after, F.lit(0)))
+
+    more_digits, more_letters = more(DIGITS_GROW, "0123456789123456"), more(LETTERS_GROW, "abcdefghijklmnop")
+
     def mapped(what: Column, d: Column) -> Column:
         return F.array_join(F.transform(F.split(what, ""), lambda c, i: like(c, number(d, i))), "")
 
@@ -143,31 +173,39 @@ def drawn(kind: Column, canon: Column, turn: Column, key: str) -> Column:
         rest = F.substring(domain, F.lit(1), F.length(domain) - F.length(last) - 1)
         # a domain's surrogate depends on the domain alone
         own = F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), domain), 256)
-        return F.concat(mapped(local, d), F.lit("@"), mapped(rest, F.concat(own, own)), F.lit("."), last)
+        return F.concat(mapped(local, d), more_letters, F.lit("@"), mapped(rest, F.concat(own, own)), F.lit("."), last)
 
     def ip(d: Column) -> Column:
-        return F.concat_ws(".", (number(d, F.lit(0)) % 223 + 1).cast("string"), *[(number(d, F.lit(i)) % 256).cast("string") for i in (1, 2, 3)])
+        four = F.concat_ws(".", (number(d, F.lit(0)) % 223 + 1).cast("string"), *[(number(d, F.lit(i)) % 256).cast("string") for i in (1, 2, 3)])
+        return F.when(more_digits == "", four).otherwise(F.concat(four, F.lit(":"), more_digits))
 
     def card(d: Column) -> Column:
-        body = F.concat(F.substring(canon, 1, 1), F.substring(mapped(canon, d), F.lit(2), F.length(canon) - 2))
+        body = F.concat(F.substring(canon, 1, 1), F.substring(mapped(canon, d), F.lit(2), F.length(canon) - 2), more_digits)
         check = F.when(luhn(canon) == 0, F.pmod(10 - luhn(F.concat(body, F.lit("0"))), F.lit(10))).otherwise(number(d, F.lit(31)) % 10)
         return F.concat(body, check.cast("string"))
 
     def phone(d: Column) -> Column:  # the country's digit and a valid first digit stay likely
-        return F.concat(F.substring(canon, 1, 1), F.substring(mapped(canon, d), F.lit(2), F.length(canon)))
+        return F.concat(F.substring(canon, 1, 1), F.substring(mapped(canon, d), F.lit(2), F.length(canon)), more_digits)
+
+    def iban(d: Column) -> Column:
+        country, account = F.substring(canon, 1, 2), F.concat(F.substring(mapped(canon, d), F.lit(5), F.length(canon)), more_digits)
+        right = F.lpad((98 - mod97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0")
+        valid = mod97(F.concat(F.substring(canon, F.lit(5), F.length(canon)), F.substring(canon, 1, 4))) == 1
+        return F.concat(country, F.when(valid, right).otherwise(F.substring(mapped(canon, d), 3, 2)), account)
 
     def name(d: Column) -> Column:
         out = F.lit("")
         for script, (consonants, vowels, endings) in SOUNDS.items():
             syllable = lambda i, c=consonants, v=vowels: F.concat(pick(c, number(d, F.lit(2 * i))), pick(v, number(d, F.lit(2 * i + 1))))
+            signs = (consonants[:8] + vowels + vowels)[:16]
+            longer = more(LETTERS_GROW, signs + consonants[: 16 - len(signs)])
             first = pick(consonants, number(d, F.lit(30)))
             for role, ending in endings.items():
-                stem = [syllable(0), syllable(1)] + ([syllable(2)] if role.startswith("surname") else [])
-                # later draws make longer names, so there is always a free one
-                more = F.when(turn > 2, syllable(3)).otherwise(F.lit("")), F.when(turn > 5, F.concat(syllable(4), syllable(5), syllable(6))).otherwise(F.lit(""))
-                close = F.lit(ending) if ending[0] in vowels else F.concat(F.lit(""), F.lit(ending))
-                close = F.concat(first, F.lit(ending)) if ending[0] in vowels else close
-                out = F.when(kind == f"{role}:{script}", F.concat(*stem, *more, close)).otherwise(out)
+                stem = F.concat(syllable(0), syllable(1), *([syllable(2)] if role == "surname" else []), longer)
+                close = F.concat(first, F.lit(ending)) if ending[0] in vowels else F.lit(ending)
+                if role == "surname" and script == "cyrillic":  # a feminine form keeps its ending
+                    close = F.concat(close, F.when(canon.rlike("[ая]$"), "а").otherwise(""))
+                out = F.when(kind == f"{role}:{script}", F.concat(stem, close)).otherwise(out)
         return out
 
     by_kind = lambda d: (
@@ -175,8 +213,8 @@ def drawn(kind: Column, canon: Column, turn: Column, key: str) -> Column:
         .when(kind == "ip", ip(d))
         .when(kind == "card", card(d))
         .when(kind == "phone", phone(d))
-        .when(kind == "iban", F.concat(F.substring(canon, 1, 2), F.substring(mapped(canon, d), F.lit(3), F.length(canon))))
-        .when(kind == "ssn", mapped(canon, d))
+        .when(kind == "iban", iban(d))
+        .when(kind == "ssn", F.concat(mapped(canon, d), more_digits))
         .otherwise(name(d))
     )
     return let(digest("draw", canon), by_kind)
@@ -187,10 +225,11 @@ def written_like(kind: Column, hit: Column, new: Column) -> Column:
     chars = F.split(hit, "")
     digit_at = lambda i: F.length(F.regexp_replace(F.substring(hit, F.lit(1), i + 1), "[^0-9]", ""))
     signs_at = lambda i: F.length(F.regexp_replace(F.substring(hit, F.lit(1), i + 1), " ", ""))
-    digits = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("[0-9]"), F.substring(new, digit_at(i), F.lit(1))).otherwise(c)), "")
-    blocks = F.array_join(F.transform(chars, lambda c, i: F.when(c != " ", F.substring(new, signs_at(i), F.lit(1))).otherwise(c)), "")
+    rest = lambda dropped: F.substring(new, F.length(F.regexp_replace(hit, dropped, "")) + 1, F.length(new))  # noqa: E731  what a late draw has besides
+    digits = F.concat(F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("[0-9]"), F.substring(new, digit_at(i), F.lit(1))).otherwise(c)), ""), rest("[^0-9]"))
+    blocks = F.concat(F.array_join(F.transform(chars, lambda c, i: F.when(c != " ", F.substring(new, signs_at(i), F.lit(1))).otherwise(c)), ""), rest(" "))
     cased = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("[A-Z]"), F.upper(F.substring(new, i + 1, F.lit(1)))).otherwise(F.substring(new, i + 1, F.lit(1)))), "")
-    return F.when(kind == "email", cased).when(kind == "ip", new).when(kind == "iban", blocks).when(kind.contains(":"), F.initcap(new)).otherwise(digits)
+    return F.when((kind == "email") & (F.length(new) > F.length(hit)), new).when(kind == "email", cased).when(kind == "ip", new).when(kind == "iban", blocks).when(kind.contains(":"), F.initcap(new)).otherwise(digits)
 
 
 def assigned(entities: DataFrame, key: str) -> DataFrame:
@@ -209,15 +248,35 @@ def assigned(entities: DataFrame, key: str) -> DataFrame:
         now = now.join(again, ["kind", "canon"], "left").select("kind", "canon", (F.col("turn") + F.coalesce("again", F.lit(0))).alias("turn"))
 
 
+def resolved(each: DataFrame) -> DataFrame:
+    """Mentions, with the gender of given names that a neutral title left open taken from the document's other mentions."""
+    others = Window.partitionBy("doc_id", "tie", "canon", F.substring_index("kind", ":", -1))
+    given = each.where(F.col("kind").startswith("given:"))
+    given = given.withColumn("kind", F.when(F.col("kind").startswith("given:n"), F.min("kind").over(others)).otherwise(F.col("kind")))
+    return each.where(~F.col("kind").startswith("given:")).unionByName(given)
+
+
+def alone(some: DataFrame, each: DataFrame) -> DataFrame:
+    """Mentions of surnames that the document has introduced, where they stand alone."""
+    introduced = each.where(F.col("kind").startswith("surname:")).select("doc_id", "tie", "kind", "canon").distinct()
+    introduced = introduced.select(F.col("doc_id").alias("d"), F.col("tie").alias("t"), "kind", "canon")
+    texts = some.where(F.exists("found", lambda m: m["kind"].startswith("surname:")))
+    places = find(blanked(F.col("text"), F.col("found")), ALONE)
+    words = texts.select("doc_id", "tie", F.explode(places).alias("m")).select("doc_id", "tie", "m.start", "m.end", "m.hit", F.lower("m.hit").alias("low"))
+    both = words.join(introduced, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("t")) & (F.col("low") == F.col("canon")))
+    return both.select("doc_id", "tie", "start", "end", "kind", "canon", "hit").distinct()
+
+
 def replaced_texts(docs: DataFrame, key: str = KEY) -> DataFrame:
     """doc_id, text with every entity replaced, and n_entities of every document."""
     read = docs.select("doc_id", "text", mentions(F.col("text")).alias("found"))
     clean = read.where(F.size("found") == 0).select("doc_id", "text", F.lit(0).cast("long").alias("n_entities"))
     some = written(read.where(F.size("found") > 0).withColumn("tie", F.xxhash64("text")), "pii-texts")
     each = some.select("doc_id", "tie", F.explode("found").alias("m")).select("doc_id", "tie", "m.*").distinct()
+    each = written(resolved(each).unionByName(alone(some, each)), "pii-mentions")
     new = assigned(each.select("kind", "canon").distinct(), key)
     told = each.join(new, ["kind", "canon"]).withColumn("new", written_like(F.col("kind"), F.col("hit"), F.col("new")))
     told = told.groupBy(F.col("doc_id").alias("d"), F.col("tie").alias("t")).agg(F.sort_array(F.collect_list(F.struct("start", "end", "new"))).alias("at"))
     both = some.join(told, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tie") == F.col("t")))
-    changed = both.select("doc_id", replaced(F.col("text"), F.col("at")).alias("text"), F.size("found").cast("long").alias("n_entities"))
+    changed = both.select("doc_id", replaced(F.col("text"), F.col("at")).alias("text"), F.size("at").cast("long").alias("n_entities"))
     return clean.unionByName(changed)

@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import regex
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
@@ -112,3 +113,35 @@ def padding(lengths, k):
 
     kinds = sorted(set(lengths))
     return min(sum(next(b for b in (*c, kinds[-1]) if b >= x) for x in lengths) for c in combinations(kinds[:-1], min(k, len(kinds)) - 1))
+
+
+LABEL = r"[A-Za-z0-9-]+"
+ENTITIES = [
+    ("email", rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@{LABEL}(?:\.{LABEL})*\.[A-Za-z]{{2,}}(?![A-Za-z])"),
+    ("iban", r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9_])"),
+    ("ssn", r"(?<![A-Za-z0-9_-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9_-])"),
+    ("card", r"(?<![A-Za-z0-9_.+-])(?:(?:[0-9]{4}[ -]?){3}[0-9]{4}(?![A-Za-z0-9_-])|[0-9]{13,19}(?![A-Za-z0-9_-]))"),
+    ("ip", r"(?<![A-Za-z0-9_.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![A-Za-z0-9_]|\.[0-9])"),
+    ("phone", r"(?<![A-Za-z0-9_.+-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}(?![A-Za-z0-9_-])|(?<![A-Za-z0-9_])\+[0-9]{8,15}(?![A-Za-z0-9_])"),
+]
+
+
+def canonical(kind, hit):
+    if kind == "email":
+        return hit.lower()
+    return hit if kind == "ip" else hit.replace(" ", "") if kind == "iban" else "".join(c for c in hit if c in "0123456789")
+
+
+def entities(text):
+    """(start, end, kind, canonical form) of all but names: at each place the first kind that matches, leftmost, without overlaps."""
+    out, at = [], 0
+    while at < len(text):
+        for kind, pattern in ENTITIES:
+            m = regex.compile(pattern).match(text, at)
+            if m:
+                out.append((at, m.end(), kind, canonical(kind, m[0])))
+                at = m.end()
+                break
+        else:
+            at += 1
+    return out

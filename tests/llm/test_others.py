@@ -233,11 +233,89 @@ def test_surrogates(documents):
     luhn = lambda n: sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(n))) % 10
     assert luhn(three[2]) == 0 and three[2][0] == "4"
     names = re.match(r"Mrs\. (\w+)a (\w+) met Mr\. (\w+n) (\w+)\. Dr\. (\w+) left\. (\w+на) (\w+ева)\.$", text[4])
-    assert names and names[2] != "Lopez" and names[2] != names[4]
+    assert names and names[2] != "Lopez" and names[2] != names[4] and names[5] == names[2]
     assert text[5] == rows[4][1] and text[6] is None and text[7] == ""
     assert text[8].startswith("é ") and text[8].endswith(" é") and "DE89" not in text[8] and re.search(r"DE\d\d( \d{4}){4} \d\d é$", text[8])
+    assert mod97(re.search(r"DE[\d ]+\d", text[8])[0]) == 1
     other = surrogates.replaced_texts(documents(rows[:1]), key="another").first().text
     assert other != text[1]
+    assert surrogates.replaced_texts(documents([])).count() == 0
+
+
+def mod97(iban):
+    s = iban.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97
+
+
+def test_surrogates_keep_who_is_who(documents):
+    """One surname whatever the title; given names of neutral titles; surnames alone."""
+    rows = [
+        (1, "Mrs. Maria Lopez spoke. Ms. Lopez and Dr. Lopez agreed. Lopez left, said Prof. Maria Lopez; lopez and Lopezia stay."),
+        (2, "Dr. Robin Hall came. Mr. Robin Hall left; Hall's hat. Mr. Hall-Smith stayed."),
+        (3, "Lopez is a town that no title introduces."),
+        (4, "Мария Иванова и Николай Иванов."),
+        (5, "Mrs. Robin Ward"),
+    ]
+    got = {r.doc_id: r for r in surrogates.replaced_texts(documents(rows)).collect()}
+    import re
+
+    m = re.fullmatch(r"Mrs\. (\w+) (\w+) spoke\. Ms\. (\w+) and Dr\. (\w+) agreed\. (\w+) left, said Prof\. (\w+) (\w+); lopez and Lopezia stay\.", got[1].text)
+    assert m and len({m[2], m[3], m[4], m[5], m[7]}) == 1 and m[2] != "Lopez" and m[1] == m[6] and m[1].endswith("a")
+    assert got[1].n_entities == 7
+    m = re.fullmatch(r"Dr\. (\w+n) (\w+) came\. Mr\. (\w+) (\w+) left; (\w+)'s hat\. Mr\. (\w+) stayed\.", got[2].text)
+    assert m and m[1] == m[3] and m[2] == m[4] == m[5] != m[6]
+    assert got[3].text == rows[2][1]
+    m = re.fullmatch(r"(\w+на) (\w+ева) и (\w+р) (\w+ев)\.", got[4].text)
+    assert m and got[5].text.split()[1].endswith("a")
+
+
+def test_surrogates_of_long_and_dense_texts(documents):
+    rng = random.Random(3)
+    label = "a@" + "b." * 20_000 + "com"
+    emails = [f"{a}@{b}.co" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    dense = " ".join(f"{rng.randrange(10**9):09d}"[:3] + f"-{rng.randrange(100):02d}-{rng.randrange(10**4):04d}" for _ in range(60_000))
+    rows = [(1, label), (2, " ".join(emails)), (3, dense), (4, "word " * 250_000 + "x@y.example"), (5, "Mr. Smith " * 5000), (6, "A" * 300_000 + "@" + "a" * 300_000)]
+    got = {r.doc_id: r.text for r in surrogates.replaced_texts(documents(rows)).collect()}
+    new = got[2].split(" ")
+    assert len(set(new)) == len(new) == 676 and not set(new) & set(emails) and all("@" in x for x in new)
+    old, new = dense.split(" "), got[3].split(" ")
+    told = dict(zip(old, new, strict=True))
+    assert all(told[a] == b for a, b in zip(old, new, strict=True)) and len(set(told.values())) == len(told) and not set(new) & set(old)
+    assert got[4].startswith("word word") and got[4].endswith(".example") and "x@y" not in got[4]
+    assert len(set(got[5].split(" "))) == 3 and "Smith" not in got[5]
+
+
+def test_surrogates_against_a_plain_search(documents):
+    """The same entities as a plain search finds; one surrogate for each canonical form, another for every other."""
+    rng = random.Random(12)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    makers = [
+        lambda: f"{rng.choice(['ann', 'Bob.K', 'c_d'])}{rng.randrange(20)}@{rng.choice(['mail', 'Web-x'])}.{rng.choice(['org', 'co.uk'])}",
+        lambda: f"{rng.randrange(256)}.{rng.randrange(256)}.1.{rng.randrange(4)}",
+        lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
+        lambda: f"+{rng.randrange(1, 99)} ({digits(3)}) {digits(3)}-{digits(4)}",
+        lambda: " ".join(digits(4) for _ in range(4)),
+        lambda: f"GB{digits(2)} ABCD {digits(4)} {digits(4)} {digits(2)}",
+        lambda: rng.choice(["plain", "word,", "v1.2.3", "2024-05-06", "a@b", "12", "é", "\U0001f600"]),
+    ]
+    rows = [(i, " | ".join(rng.choice(makers)() for _ in range(rng.randrange(30)))) for i in range(200)]
+    got = {r.doc_id: r for r in surrogates.replaced_texts(documents(rows)).collect()}
+    told = {}
+    import re
+
+    for i, text in rows:
+        found = brute.entities(text)
+        assert got[i].n_entities == len(found)
+        gaps, at = [], 0
+        for start, end, _, _ in found:
+            gaps.append(text[at:start])
+            at = end
+        m = re.fullmatch("([^|]+)".join(map(re.escape, [*gaps, text[at:]])), got[i].text)
+        assert m, (text, got[i].text)
+        for (_, _, kind, canon), new in zip(found, m.groups(), strict=True):
+            plain = brute.canonical(kind, new)
+            assert told.setdefault((kind, canon), plain) == plain
+    assert len({(k, n) for (k, _), n in told.items()}) == len(told) and not {(k, n) for (k, _), n in told.items()} & set(told)
 
 
 def test_surrogates_are_distinct(spark, documents):
