@@ -11,8 +11,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.errors import EvalError, SourceError
-from tessera.functions.native import ISO, MARK, Compiler, Kind, Val, double, key, num_struct, number, raise_if, sort_key, tree
+from tessera.errors import QueryError, Sort as Trouble, SourceError
+from tessera.functions.native import MARK, Compiler, Kind, Val, double, iso_text, key, literal, num_struct, number, raise_if, sort_key, tree
 from tessera.functions.values import Constant, Value
 from tessera.operators.aggregates import compute
 from tessera.plans.binder import Bound, bind
@@ -67,12 +67,10 @@ class Query:
     def rows(self) -> list[tuple[Value, ...]]:
         try:
             got = self.frame().collect()
-        except EvalError:
-            raise
         except PySparkException as e:
             text = str(e)
             if MARK in text:
-                raise EvalError(text.split(MARK, 1)[1].split("\n")[0].split(" SQLSTATE")[0].strip()) from e
+                raise QueryError(Trouble.VALUE, text.split(MARK, 1)[1].split("\n")[0].split(" SQLSTATE")[0].strip()) from e
             if SourceError.__name__ in text:
                 raise SourceError(text) from e
             raise
@@ -119,8 +117,9 @@ class _Build:
     def result(self, mixed: str) -> DataFrame:
         limit = next((x for x in self.ops if isinstance(x, Limit)), None)
         nothing = limit is not None and limit.limit == 0 or not self.guard_holds()
-        self.scan(self.ops[0], nothing)
-        self.order: list[Column] = []
+        # the first rows will do if nothing above the scan has to see all
+        few = limit is not None and limit.limit >= 0 and not any(isinstance(x, Aggregate | Sort | Distinct) for x in self.ops)
+        self.scan(self.ops[0], nothing, few)
         for x in self.ops[1:]:
             match x:
                 case Filter():
@@ -141,19 +140,24 @@ class _Build:
         constant = Constant(self.schema)
         return all(constant.condition(t) is True for t in terms)
 
-    def scan(self, scan: Scan, nothing: bool) -> None:
+    def scan(self, scan: Scan, nothing: bool, few: bool) -> None:
         if nothing:
             kinds = {Affinity.TEXT: "string", Affinity.INTEGER: "bigint", Affinity.REAL: "double"}
-            types = [f"c{i} {'timestamp' if c.iso else kinds[c.affinity]}" for i, c in enumerate(self.schema.columns)]
+            types = [f"c{i} {'timestamp_ntz' if c.iso else kinds[c.affinity]}" for i, c in enumerate(self.schema.columns) if not c.refused]
             self.df, self.ordered = self.spark.createDataFrame([], ", ".join(types)), False
         else:
-            self.df = self.table.frame(self.spark, scan.pushed)
+            self.df = self.table.frame(self.spark, scan.pushed, few)
             self.ordered = ROW_ID in self.df.columns
+        self.in_order = self.ordered and self.table.in_order
+        kinds_of = dict(self.df.dtypes)
         self.row = []
         for i, c in enumerate(self.schema.columns):
             own = F.col(f"c{i}")
-            if c.iso:
-                self.row.append(Val(Kind.TEXT, F.date_format(own, ISO), stamp=own))
+            if c.refused:
+                self.row.append(literal(None))
+            elif c.iso:
+                instant = kinds_of[f"c{i}"] == "timestamp"
+                self.row.append(Val(Kind.TEXT, iso_text(own, instant), stamp=own, instant=instant))
             else:
                 self.row.append(Val(_KIND[c.affinity], own, c.low, c.high))
 
@@ -188,6 +192,7 @@ class _Build:
         args = [None if not c.args or isinstance(c.args[0], Star) else c.args[0] for c in a.calls]
         vals = self.values([*a.keys, *[n for n in args if n is not None]])
         self.rename(vals)
+        self.in_order = False
         keys, rest = self.row[: len(a.keys)], iter(self.row[len(a.keys) :])
         outs = [compute(fold(c.name), None if n is None else next(rest), c.distinct, self.ordered) for c, n in zip(a.calls, args, strict=True)]
         found = [v.col.alias(f"a{i}") for i, v in enumerate(outs)]
@@ -221,6 +226,7 @@ class _Build:
 
     def distinct(self) -> None:
         """Rows that differ; where rows have an order, the first of each and in that order."""
+        self.in_order = False
         by = [key(v).alias(f"k{i}") if v.kind is Kind.NUM else v.col.alias(f"k{i}") for i, v in enumerate(self.row)]
         every = [c for c in self.df.columns if c != ROW_ID]
         if self.ordered:
@@ -234,9 +240,13 @@ class _Build:
 
     def finish(self, limit: Limit | None, mixed: str) -> DataFrame:
         order = [F.desc_nulls_last(sort_key(v)) if k.descending else F.asc_nulls_first(sort_key(v)) for v, k in self.sorting]
-        if self.ordered:
+        df = self.df
+        if self.in_order and order and self.table.dear:
+            # ranges are sampled from what is sorted; an exchange below holds the rows, so that the scan runs once
+            df = df.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), ROW_ID)
+        if self.ordered and not (self.in_order and not order):
             order.append(F.asc(ROW_ID))
-        df = self.df.orderBy(*order) if order else self.df
+        df = df.orderBy(*order) if order else df
         if limit is not None:
             df = df.offset(limit.offset) if limit.offset else df
             df = df.limit(limit.limit) if limit.limit >= 0 and limit.limit < 1 << 31 else df

@@ -25,7 +25,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.errors import EvalError
+from tessera.errors import QueryError
 from tessera.functions import values as V
 from tessera.functions.numbers import real_to_text, text_to_real
 from tessera.plans.syntax import COMPARISONS, And, Between, Binary, Field, Fixed, In, Is, Like, Lit, Node, Not, Or, Sign, is_constant
@@ -35,7 +35,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NUMERAL = r"[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
 #: A vertical tab must be written as a number in Java.
 GAP = r"[ \t\n\x0B\f\r]*"
-ISO = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 MARK = "[query error] "
 
 
@@ -62,6 +61,7 @@ class Val:
     const: bool = False
     value: V.Value = None
     stamp: Column | None = None  # the timestamp that the text is made of
+    instant: bool = False  # whether that is a point in time, not a date and time without zone
 
     @property
     def i(self) -> Column:
@@ -346,7 +346,19 @@ def integer_against(op: str, a: Val, x: float) -> Column:
     return a.col <= F.lit(below).cast("bigint") if op[0] == "<" else a.col > F.lit(below).cast("bigint")
 
 
-def stamp_against(op: str, stamp: Column, text: str) -> Column:
+def iso_text(stamp: Column, instant: bool) -> Column:
+    """ISO text in UTC of a timestamp; the session's time zone plays no part."""
+    if not instant:
+        plain = stamp.cast("string")
+        return F.concat(F.substring(plain, 1, 10), F.lit("T"), F.substring(plain, 12, 8), F.lit("Z"))
+    seconds = F.unix_seconds(stamp)
+    of_day = F.pmod(seconds, F.lit(86400))
+    day = F.date_from_unix_date(((seconds - of_day) / 86400).cast("int")).cast("string")
+    two = lambda x: F.lpad(x.cast("bigint").cast("string"), 2, "0")
+    return F.concat(day, F.lit("T"), two(of_day / 3600), F.lit(":"), two(of_day % 3600 / 60), F.lit(":"), two(of_day % 60), F.lit("Z"))
+
+
+def stamp_against(op: str, stamp: Column, text: str, instant: bool) -> Column:
     """ISO text of a timestamp against a text constant, as a comparison of timestamps that a scan can use."""
     first, last = datetime(1, 1, 1), datetime(9999, 12, 31, 23, 59, 59)
     iso = lambda k: (first + timedelta(seconds=k)).strftime("%Y-%m-%dT%H:%M:%SZ").rjust(20, "0")
@@ -357,8 +369,9 @@ def stamp_against(op: str, stamp: Column, text: str) -> Column:
     if low > (last - first).total_seconds():
         return certain(stamp.isNotNull(), op in ("<", "<=", "<>"))
     same = iso(low) == text
-    at = F.lit(first + timedelta(seconds=low))
-    after = F.lit(first + timedelta(seconds=low + same))
+    seconds = int((first - datetime(1970, 1, 1)).total_seconds()) + low
+    told = lambda k: F.timestamp_seconds(F.lit(seconds + k)) if instant else F.lit((first + timedelta(seconds=low + k)).isoformat(" ").rjust(19, "0")).cast("timestamp_ntz")
+    at, after = told(0), told(same)
     if op in ("=", "<>"):
         if not same:
             return certain(stamp.isNotNull(), op == "<>")
@@ -375,7 +388,7 @@ def comparison(op: str, a: Val, b: Val, of_a: Affinity | None = None, of_b: Affi
     if a.const and not b.const:
         a, b, op = b, a, _TURNED[op]
     if a.stamp is not None and b.const and b.kind is Kind.TEXT:
-        return stamp_against(op, a.stamp, b.value)
+        return stamp_against(op, a.stamp, b.value, a.instant)
     if a.kind is b.kind and a.kind in (Kind.INT, Kind.REAL, Kind.TEXT):
         return _OPS[op](a.col, b.col)
     if b.const and a.kind is Kind.INT and b.kind is Kind.REAL:
@@ -459,7 +472,7 @@ class Compiler:
         if is_constant(n) and not isinstance(n, Fixed):
             try:
                 return literal(V.Constant(self.schema).value(n))
-            except EvalError:
+            except QueryError:
                 return replace(literal(None), raised=F.lit(True))
         match n:
             case Lit() | Fixed():
@@ -543,7 +556,7 @@ class Compiler:
             try:
                 out = V.Constant(self.schema).condition(n, plain)
                 return Val(Kind.BOOL, F.lit(out).cast("boolean"))
-            except EvalError:
+            except QueryError:
                 return Val(Kind.BOOL, F.lit(None).cast("boolean"), raised=F.lit(True))
         match n:
             case And() | Or():

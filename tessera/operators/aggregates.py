@@ -83,6 +83,11 @@ def is_small(v: Val) -> bool:
     return v.kind is Kind.INT and abs(v.low) <= 1 << 32 and abs(v.high) <= 1 << 32
 
 
+def short(text: Column) -> Column:
+    """Text that stands for itself, or for longer ones their digest with a mark, so that long texts aren't shuffled to be told apart."""
+    return F.when(F.octet_length(text) <= 64, text).otherwise(F.concat(F.lit("sha256:"), F.sha2(text, 256)))
+
+
 def compute(name: str, v: Val | None, distinct: bool, ordered: bool) -> Val:
     """An aggregate over an argument; v is None for count(*)."""
     if name == "count":
@@ -91,7 +96,7 @@ def compute(name: str, v: Val | None, distinct: bool, ordered: bool) -> Val:
         if v.kind is Kind.NULL:
             return Val(Kind.INT, F.count(F.lit(None)), 0, MOST_ROWS)
         if distinct:
-            return Val(Kind.INT, F.count_distinct(key(v) if v.kind is Kind.NUM else v.col), 0, MOST_ROWS)
+            return Val(Kind.INT, F.count_distinct(key(v) if v.kind is Kind.NUM else short(v.col) if v.kind is Kind.TEXT else v.col), 0, MOST_ROWS)
         return Val(Kind.INT, F.count(F.when(v.known, 1)) if v.kind is Kind.NUM else F.count(v.col), 0, MOST_ROWS)
     if v.kind is Kind.NULL:
         return Val(Kind.NULL, F.max(F.lit(None).cast("bigint")))
@@ -153,5 +158,7 @@ def extreme(name: str, v: Val, ordered: bool) -> Val:
         return replace(v, col=by if v.kind is Kind.NUM else (F.min(v.col) if name == "min" else F.max(v.col)), const=False, raised=None)
     if name == "min":
         return replace(v, col=F.min_by(v.col, F.when(v.known, F.struct(k.alias("k"), F.col(ROW_ID).alias("o")))), const=False, raised=None)
-    best = F.array_sort(F.collect_list(F.when(v.known, F.struct(k.alias("k"), F.col(ROW_ID).alias("o"), v.col.alias("v")))), lambda a, b: F.when(a["k"] > b["k"], -1).when(a["k"] < b["k"], 1).when(a["o"] < b["o"], -1).otherwise(1))
-    return replace(v, col=F.get(best, F.lit(0))["v"], const=False, raised=None)
+    # the greatest, and of equal ones the first: the least of the negated key
+    falling = [-k["h"], -k["l"]] if v.kind is Kind.NUM else [-k]
+    by = F.struct(*[x.alias(f"k{i}") for i, x in enumerate(falling)], F.col(ROW_ID).alias("o"))
+    return replace(v, col=F.min_by(v.col, F.when(v.known, by)), const=False, raised=None)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.engine import Engine
+from tessera.plans.parser import parse
 from tessera.sources.parquet import ParquetTable
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -59,8 +60,8 @@ TEXTS: dict[str, tuple[str, str]] = {
         "SELECT p_partkey, p_name FROM part WHERE lower(p_type) LIKE '%e_o%' OR NOT (lower(p_brand) LIKE 'brand#%') OR lower(p_name) LIKE 'part_1%'",
     ),
     "like_escape": (
-        "SELECT p_partkey FROM part WHERE p_name LIKE 'part!_%5' ESCAPE '!' OR p_brand LIKE '%!%%' ESCAPE '!'",
-        "SELECT p_partkey FROM part WHERE lower(p_name) LIKE 'part!_%5' ESCAPE '!' OR lower(p_brand) LIKE '%!%%' ESCAPE '!'",
+        "SELECT c_custkey FROM customer WHERE c_name LIKE 'customer##%7' ESCAPE '#' OR c_mktsegment LIKE 'b!_%' ESCAPE '!'",
+        "SELECT c_custkey FROM customer WHERE lower(c_name) LIKE 'customer##%7' ESCAPE '#' OR lower(c_mktsegment) LIKE 'b!_%' ESCAPE '!'",
     ),
     "in_list": (
         "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_custkey NOT IN (1, 2, 3.0) AND o_orderstatus IN ('F', NULL)",
@@ -223,9 +224,7 @@ TEXTS: dict[str, tuple[str, str]] = {
 
 def _run(text: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        words = text.replace(",", " ").split()
-        table = words[[w.upper() for w in words].index("FROM") + 1].lower()
-        return Engine(spark, catalog(spark, sf_dir, [table])).frame(text)
+        return Engine(spark, catalog(spark, sf_dir, [parse(text).table.lower()])).frame(text)
 
     return run
 

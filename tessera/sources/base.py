@@ -29,14 +29,18 @@ class Table(ABC):
     """A relation. Columns of the frame are named c0, c1, ... in schema order; ROW_ID may follow."""
 
     schema: Schema
+    #: Whether frames hold their rows in order, partition by partition.
+    in_order = False
+    #: Whether reading a row is so dear that the scan mustn't run twice.
+    dear = False
 
     def accepts(self, term: Node) -> bool:
         """Whether the scan can narrow itself by a term, judged by its shape alone."""
         return False
 
     @abstractmethod
-    def frame(self, spark: SparkSession, pushed: Sequence[Node]) -> DataFrame:
-        """At least the rows that the pushed terms keep."""
+    def frame(self, spark: SparkSession, pushed: Sequence[Node], few: bool = False) -> DataFrame:
+        """At least the rows that the pushed terms keep. ``few``: the query may need only the first of them."""
 
     @abstractmethod
     def estimate(self, pushed: Sequence[Node]) -> Estimate | None:

@@ -11,6 +11,7 @@ IN), then of lines.
 
 from __future__ import annotations
 
+import math
 import re
 import subprocess
 from collections.abc import Iterator, Sequence
@@ -39,11 +40,12 @@ SCHEMA = Schema(
 )
 TYPES = f"c0 string, c1 bigint, c2 string, c3 string, c4 string, c5 string, c6 string, {ROW_ID} struct<path_index:bigint,line_no:bigint>"
 PATH = 0
+GIT = "git"
 
 
-def git(repo: str, *args: str) -> bytes:
+def git(repo: str, *args: str, program: str | None = None) -> bytes:
     try:
-        done = subprocess.run(["git", "-C", repo, *args], capture_output=True, check=False)
+        done = subprocess.run([program or GIT, "-C", repo, *args], capture_output=True, check=False)
     except OSError as e:
         raise SourceError(str(e)) from e
     if done.returncode:
@@ -74,7 +76,7 @@ def lines_of(raw: bytes) -> Iterator[tuple[int, str, str, str, str, str]]:
 
 
 class _Paths(AccumulatorParam):
-    """The set of paths read, so that retries don't count twice."""
+    """The set of paths read, so that one that is read again is still one."""
 
     def zero(self, value: set) -> set:
         return set()
@@ -103,10 +105,12 @@ def prefix(term: Node) -> str | None:
 
 class BlameTable(Table):
     schema = SCHEMA
+    in_order = True
+    dear = True
 
     def __init__(self, repo: str) -> None:
         self.repo = repo
-        self._read = None
+        self._read = self._runs = None
         self.tracked, self.listings = 0, 0
 
     @property
@@ -115,8 +119,8 @@ class BlameTable(Table):
 
     @property
     def git_invocations(self) -> int:
-        """One for the listing, one for each path read."""
-        return self.listings + len(self.blamed_paths)
+        """Processes started: for the listing, and by tasks, each time that they ran git."""
+        return self.listings + (self._runs.value if self._runs is not None else 0)
 
     def accepts(self, term: Node) -> bool:
         match term:
@@ -139,18 +143,21 @@ class BlameTable(Table):
                 paths = [p for p in paths if fold(p).startswith(begin)]
         return paths
 
-    def frame(self, spark: SparkSession, pushed: Sequence[Node]) -> DataFrame:
+    def frame(self, spark: SparkSession, pushed: Sequence[Node], few: bool = False) -> DataFrame:
+        """A partition holds a run of paths, and a task asks git for one after another; where few rows may do, a partition is one path, so that Spark stops after the first that give enough."""
         every = listing(self.repo)
         self.tracked, self.listings = len(every), 1
         paths = self.narrowed(every, pushed)
         self._read = read = spark.sparkContext.accumulator(set(), _Paths())
-        repo = self.repo
+        self._runs = runs = spark.sparkContext.accumulator(0)
+        repo, program = self.repo, GIT
 
         def blamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for index, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     path = raw.decode("utf-8", "surrogateescape")
-                    rows = list(lines_of(git(repo, "blame", "--line-porcelain", "HEAD", "--", path)))
+                    runs.add(1)
+                    rows = list(lines_of(git(repo, "blame", "--line-porcelain", "HEAD", "--", path, program=program)))
                     read.add({path})
                     shown = raw.decode("utf-8", "replace")
                     columns = list(zip(*rows, strict=True)) or [()] * 6
@@ -160,8 +167,13 @@ class BlameTable(Table):
 
         rows = [(i, p.encode("utf-8", "surrogateescape")) for i, p in enumerate(paths)]
         chosen = spark.createDataFrame(rows, "i bigint, p binary")
-        parts = max(1, min(len(rows), 4 * spark.sparkContext.defaultParallelism))
-        return chosen.repartitionByRange(parts, "i").mapInArrow(blamed, TYPES) if rows else spark.createDataFrame([], TYPES)
+        if not rows:
+            return spark.createDataFrame([], TYPES)
+        size = 1 if few else math.ceil(len(rows) / (4 * spark.sparkContext.defaultParallelism))
+        dealt = chosen.repartitionByRange(math.ceil(len(rows) / size), "i").sortWithinPartitions("i")
+        out = dealt.mapInArrow(blamed, TYPES)
+        # a limit would stop reading a task before it has told its counts; the sort of one path's lines reads it to its end
+        return out.sortWithinPartitions(ROW_ID) if few else out
 
     def estimate(self, pushed: Sequence[Node]) -> Estimate:
         every = listing(self.repo)

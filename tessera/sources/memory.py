@@ -18,7 +18,7 @@ class MemoryTable(Table):
     def __init__(self, schema: Schema, rows: Sequence[tuple]) -> None:
         self.schema, self.rows, self.scans = schema, list(rows), 0
 
-    def frame(self, spark: SparkSession, pushed: Sequence[Node]) -> DataFrame:
+    def frame(self, spark: SparkSession, pushed: Sequence[Node], few: bool = False) -> DataFrame:
         self.scans += 1
         fields = [T.StructField(f"c{i}", _TYPES[c.affinity]) for i, c in enumerate(self.schema.columns)]
         fields.append(T.StructField(ROW_ID, T.LongType()))
@@ -26,5 +26,5 @@ class MemoryTable(Table):
         rows = [(*[float(v) if is_real and v is not None else v for v, is_real in zip(r, real, strict=True)], i) for i, r in enumerate(self.rows)]
         return spark.createDataFrame(rows, T.StructType(fields))
 
-    def estimate(self, pushed: Sequence[Node]) -> Estimate:
+    def estimate(self, pushed: Sequence[Node], few: bool = False) -> Estimate:
         return Estimate("MemoryScan", len(self.rows), len(self.rows), "rows")

@@ -16,13 +16,14 @@ class Affinity(Enum):
 
 @dataclass(frozen=True)
 class Column:
-    """``low`` and ``high`` bound an INTEGER column's values; ``iso`` marks text made of a timestamp column."""
+    """``low`` and ``high`` bound an INTEGER column's values; ``iso`` marks text made of a timestamp column; ``refused`` names a type without values in the dialect."""
 
     name: str
     affinity: Affinity | None
     low: int = INT_MIN
     high: int = INT_MAX
     iso: bool = False
+    refused: str | None = None
 
 
 @dataclass(frozen=True)

@@ -102,6 +102,52 @@ def test_work_avoided_and_rows_unchanged(blame, where, paths):
         assert read == paths and table.git_invocations == 1 + len(paths)
 
 
+@pytest.fixture
+def processes(monkeypatch, tmp_path):
+    """Puts a git that notes each call before the real one; gives the calls so far that blame."""
+    import shutil
+
+    log, own = tmp_path / "calls", tmp_path / "bin"
+    own.mkdir()
+    log.touch()
+    (own / "git").write_text(f'#!/bin/sh\necho "$*" >> {log}\nexec {shutil.which("git")} "$@"\n')
+    (own / "git").chmod(0o755)
+    monkeypatch.setattr("tessera.sources.blame.GIT", str(own / "git"))
+    return lambda: sum(" blame " in x for x in log.read_text().splitlines())
+
+
+@pytest.mark.parametrize(
+    ("text", "most"),
+    [
+        ("SELECT path, line_no FROM blame", 7),
+        ("SELECT path, line FROM blame ORDER BY line DESC", 7),
+        ("SELECT author_name, count(*) FROM blame GROUP BY author_name ORDER BY 2", 7),
+        ("SELECT DISTINCT author_name FROM blame ORDER BY 1", 7),
+        ("SELECT path, line FROM blame WHERE path LIKE 'src/%' ORDER BY line LIMIT 1", 2),
+        ("SELECT path FROM blame LIMIT 1", 1),
+        ("SELECT path FROM blame LIMIT 2 OFFSET 1", 5),
+        ("SELECT path FROM blame WHERE line_no = 1 LIMIT 1", 1),
+        ("SELECT path FROM blame LIMIT 0", 0),
+    ],
+)
+def test_processes(blame, processes, text, most):
+    """One git process for each path at most, as few as give the first rows, and as many as the table says."""
+    engine, table = blame
+    engine.rows(text)
+    assert processes() <= most
+    if most != 5:
+        assert processes() == most
+    if most:
+        assert table.git_invocations == 1 + processes()
+
+
+def test_limits_take_the_first_rows(blame):
+    engine, _ = blame
+    every = engine.rows("SELECT path, line_no FROM blame")
+    for n, m in ((1, 0), (3, 2), (100, 0), (2, 100)):
+        assert engine.rows(f"SELECT path, line_no FROM blame LIMIT {n} OFFSET {m}") == every[m : m + n]
+
+
 def test_list_order(blame):
     engine, _ = blame
     found = engine.rows("SELECT path FROM blame WHERE path IN ('src/utils.py', 'café.py')")
@@ -128,7 +174,7 @@ def test_command_line(spark, repo, capsys, tmp_path):
     assert main(["-C", repo, "SELECT path, NULL AS n, 1.0 FROM blame WHERE 0"], spark) == 0
     assert capsys.readouterr().out == "path  n  column_3\n"
     assert main(["-C", repo, "SELECT ghost FROM blame"], spark) == 1
-    assert capsys.readouterr().err == "error: no such column: ghost\n"
+    assert capsys.readouterr().err.splitlines()[:2] == ["error: no such column: ghost", "  at line 1, column 8"]
     assert main(["-C", str(tmp_path), "SELECT 1 FROM blame"], spark) == 3
     capsys.readouterr()
     assert main(["-C", repo, "--explain", "SELECT 1 FROM blame"], spark) == 0
