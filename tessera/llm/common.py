@@ -74,7 +74,22 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Deletes tables made by written() that no later step reads, and lets go of the shuffle files of finished steps.
+
+    Frames derived from such a table must have been written themselves.
+    """
+    for df in tables:
+        if path := getattr(df, "_written_to", None):
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+            df._written_to = None
 
 
 def shards(spark: SparkSession) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import forget, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -28,19 +28,22 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         up = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")), "cc-up")
         while True:
             top = up.select(F.col("node").alias("root"), F.col("root").alias("top"))
-            nxt = written(up.join(top, "root").select("node", F.col("top").alias("root"), (F.col("top") < F.col("root")).alias("moved")), "cc-up")
+            nxt = written(up.select("node", "root").join(top, "root").select("node", F.col("top").alias("root"), (F.col("top") < F.col("root")).alias("moved")), "cc-up")
             moved = nxt.where("moved").take(1)
-            up = nxt.select("node", "root")
+            forget(up)
+            up = nxt
             if not moved:
                 break
         if labels is None:
-            labels = up.select("node", F.col("root").alias("component"))
+            labels = written(up.select("node", F.col("root").alias("component")), "cc-labels")
         else:
             over = up.select(F.col("node").alias("component"), "root")
-            labels = written(labels.join(over, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "cc-labels")
+            old, labels = labels, written(labels.join(over, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "cc-labels")
+            forget(old)
         one = left.join(up.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(up.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
         one = one.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-        left = written(one, "cc-edges")
+        old, left = left, written(one, "cc-edges")
+        forget(old, up)
     if labels is None:
         return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return labels

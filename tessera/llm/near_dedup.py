@@ -11,22 +11,23 @@ Documents with equal sets form a class, which its least doc_id stands for, so
 copies meet no pairs. Sketches that no other class has are dropped first, as a
 key made of one can't be shared; most documents end there. A class's weight is
 the number of classes that have its sketches: in a group of near copies, the one
-they were all made from is heaviest. Then the m tables of equally numbered
-sketches are searched: in the group of each table key the heaviest class, the
-pivot, is paired with the others, so pairs grow with the members, and copies
-that are like their origin but not each other still meet it. Each member is
-first checked against its heaviest pivot; other pairs only where that left the
+they were all made from is heaviest. First the m tables of equally numbered
+sketches are searched by a star: in the group of each table key the heaviest
+class, the pivot, is paired with the others, so pairs grow with the members, and
+copies that are like their origin but not each other still meet it. Each member
+is first checked against its heaviest pivot; other pairs only where that left the
 two in different components.
 
-What is left are classes that share a sketch from either collection with classes
-of other components, so all that could still meet in any of the m * m tables. All
-similar pairs among them that join two components are found by an exact search,
-without a cap and in one pass: a global order of shingles is fixed, those held by
-fewest classes first, and sets that are similar enough share one of their first
-shingles in that order, of so many that too few would follow them otherwise.
-Shingles of one component join nothing and so are only counted, which leaves few
-for the pages on one template: their first shingles are their own. Every link is
-confirmed on full sets.
+Then all m * m tables are formed, of the sketches that classes of different
+components share. In a table key of at most ``SMALL`` classes all pairs of
+different components are candidates. Larger ones have too many pairs to list;
+all similar pairs of different components among their classes are found by an
+exact search instead, without a cap and in one pass: a global order of shingles
+is fixed, those held by fewest classes first, and sets that are similar enough
+share one of their first shingles in that order, of so many that too few would
+follow them otherwise. Shingles of one component join nothing and so are only
+counted, which leaves few for the pages on one template: their first shingles
+are their own. Every link is confirmed on full sets.
 
 Sketches and sets are computed in Arrow batches with numpy, and sets only for
 documents that share sketches; which those are goes to the tasks as a bitmap of
@@ -51,7 +52,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bare, small_batches, written
+from tessera.llm.common import bare, forget, small_batches, written
 from tessera.llm.components import components
 
 SHINGLE = 5
@@ -61,8 +62,10 @@ M = 16
 MIN_BITS, MAX_BITS = 1 << 20, 1 << 28
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-#: Words whose hashes a worker keeps.
-CACHE = 1 << 20
+#: Words whose hashes a worker keeps, and the most bytes of one.
+CACHE, CACHED_BYTES = 1 << 18, 64
+#: Classes with one table key whose pairs are listed.
+SMALL = 4
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -78,9 +81,11 @@ def numbers(n: int, seed: int) -> np.ndarray:
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = found = xxhash.xxh3_64_intdigest(word)
+        found = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= CACHED_BYTES:
+            if len(self) >= CACHE:
+                self.clear()
+            self[word] = found
         return found
 
 
@@ -221,12 +226,23 @@ def in_components(rows: DataFrame, comps: DataFrame) -> DataFrame:
     return rows.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
 
 
-def unsettled(each: DataFrame, comps: DataFrame) -> DataFrame:
-    """(rep, c): classes that share sketches from both collections with other components, of (rep, slot, v)."""
+def tables(each: DataFrame, comps: DataFrame) -> DataFrame:
+    """(key, rep, c) for all m * m tables, of the sketches that several components share, from (rep, slot, v)."""
     member = in_components(each, comps)
     several = member.groupBy("v").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("v")
-    of = member.join(several, "v", "left_semi").groupBy("rep", "c").agg(F.min("slot").alias("x"), F.max("slot").alias("y"))
-    return of.where(f"x < {M} and y >= {M}").select("rep", "c")
+    one, two = F.collect_set(F.when(F.col("slot") < M, F.col("v"))).alias("one"), F.collect_set(F.when(F.col("slot") >= M, F.col("v"))).alias("two")
+    of = member.join(several, "v", "left_semi").groupBy("rep", "c").agg(one, two)  # m of either at most
+    return of.select("rep", "c", F.explode("one").alias("x"), "two").select("rep", "c", "x", F.explode("two").alias("y")).select(F.xxhash64("x", "y").alias("key"), "rep", "c")
+
+
+def candidates(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of different components in small table keys, and the classes (rep, c) of larger ones."""
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key", "n")
+    sized = written(keyed.join(sizes, "key"), "dedup-tables")
+    small = sized.where(F.col("n") <= SMALL).groupBy("key").agg(F.collect_list(F.struct("rep", "c")).alias("m"))
+    pair = lambda x: F.transform(F.filter("m", lambda y: (y["rep"] > x["rep"]) & (y["c"] != x["c"])), lambda y: F.struct(x["rep"].alias("a"), y["rep"].alias("b")))
+    pairs = small.select(F.explode(F.flatten(F.transform("m", pair))).alias("p")).select("p.a", "p.b").distinct()
+    return written(pairs, "dedup-pairs"), written(sized.where(F.col("n") > SMALL).select("rep", "c").distinct(), "dedup-large")
 
 
 def crossing(members: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -243,7 +259,9 @@ def crossing(members: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     large = first.select("v", *[F.col(x).alias(f"{x}_b") for x in names])
     like = f"c_a <> c_b and (n_a < n_b or n_a = n_b and rep_a < rep_b) and 100 * n_a >= {similarity} * n_b"
     enough = f"{100 + similarity} * least(left_a, left_b) >= {similarity} * (n_a + n_b)"
-    return ordered(small.join(large, "v").where(f"{like} and {enough}"), "rep_a", "rep_b")
+    pairs = written(ordered(small.join(large, "v").where(f"{like} and {enough}"), "rep_a", "rep_b"), "dedup-pairs")
+    forget(first)
+    return pairs
 
 
 def classes(docs: DataFrame, similarity: int = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -255,27 +273,35 @@ def classes(docs: DataFrame, similarity: int = SIMILARITY) -> tuple[DataFrame, D
     linked = rows.where("n_shingles > 0 and doc_id is not null")
     heads = written(linked.groupBy("print").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")), "dedup-classes")
     reps = linked.join(heads.select("print", F.col("rep").alias("doc_id")), ["print", "doc_id"], "left_semi").select(F.col("doc_id").alias("rep"), "sketch")
-    each = written(shared(reps), "dedup-shared")
-    weight = written(weights(each), "dedup-weights")
+    shared_ = written(shared(reps), "dedup-shared")
+    weight = written(weights(shared_), "dedup-weights")
     wanted = spark.sparkContext.broadcast(bitmap(weight.select(F.col("rep").alias("id"))))
     sets = written(docs.mapInArrow(lambda b: sets_of(b, wanted.value), "doc_id long, s array<long>").where("doc_id is not null"), "dedup-sets")
-    each = each.select("rep", "slot", "v").join(weight, "rep")
+    each = shared_.select("rep", "slot", "v").join(weight, "rep")
 
     star = pivots(diagonal(each).join(weight, "rep"))
     star = written(star.groupBy(F.col("rep").alias("m"), "pivot").agg(F.max("heavy").alias("heavy")), "dedup-star")
     best = star.groupBy("m").agg(F.max(F.struct("heavy", (-F.col("pivot")).alias("minus"))).alias("h"))
-    first = ordered(best.select("m", (-F.col("h.minus")).alias("p")), "m", "p")
+    first = written(ordered(best.select("m", (-F.col("h.minus")).alias("p")), "m", "p"), "dedup-pairs")
     links = written(confirmed(first, sets, similarity), "dedup-links")
     comps = components(links)
     tested = ordered(star, "m", "pivot")
-    for rest in (
-        lambda: apart(tested.join(first, ["a", "b"], "left_anti"), comps),
-        lambda: crossing(written(unsettled(each, comps), "dedup-unsettled"), sets, similarity).join(tested, ["a", "b"], "left_anti"),
-    ):
-        found = written(confirmed(written(rest(), "dedup-pairs"), sets, similarity), "dedup-links")
+
+    def more(pairs: DataFrame) -> None:
+        nonlocal links, comps
+        found = written(confirmed(pairs, sets, similarity), "dedup-links")
         if found.take(1):
-            links = links.unionByName(found)
+            links, old = links.unionByName(found), comps
             comps = components(links)
+            forget(old)
+
+    rest = written(apart(tested.join(first, ["a", "b"], "left_anti"), comps), "dedup-pairs")
+    more(rest)
+    pairs, large = candidates(tables(each, comps))
+    crossed = crossing(large, sets, similarity)
+    last = written(pairs.unionByName(crossed).distinct().join(tested, ["a", "b"], "left_anti"), "dedup-pairs")
+    more(last)
+    forget(star, first, rest, pairs, large, crossed, last, shared_, weight, sets)
     head = heads.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     head = head.withColumn("component", F.coalesce("component", "rep")).where("rep <> last or component <> rep").select("print", "component")
     return rows.select("doc_id", "print", "n_shingles"), written(head, "dedup-components")
