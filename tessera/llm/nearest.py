@@ -13,8 +13,13 @@ that makes their norms equal, so that nearest by angle and by inner product
 agree. What a search finds is scored again in double precision on the original
 vectors; shard results are merged by a limited window per query.
 
-Queries come in blocks; each block meets each shard once, which is what sharded
-search costs. A task holds one shard and one block, both of bounded size.
+Every query is asked of every shard, which is what sharded search costs: queries x
+shards searches. So shards are as large as a task can build in minutes and hold
+in some 20 MB, and it is the queries, the smaller part, that are sent to the
+shards, in blocks: a task first gets its shard's graph, once, and then one block
+after another. A task holds one shard and one block, both of bounded size. Where
+there are more cores than shards, a shard is sent to several tasks that share the
+blocks.
 
 Defined results
 - vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows with a null vec_id.
@@ -37,11 +42,11 @@ from pyspark.sql import functions as F
 from tessera.llm.common import bare, small_batches, written
 
 K = 20
-SHARD_SIZE = 4096
+SHARD_SIZE = 16384
 QUERY_BLOCK = 1024
 LINKS = 16
 BUILD_WIDTH = 80
-SEARCH_WIDTH = 80
+SEARCH_WIDTH = 160
 INDEX = "shard int, dim int, ids array<long>, starts array<int>, vectors array<double>, bottom array<int>, upper array<int>, upper_at array<int>, entry int, top int"
 
 
@@ -216,33 +221,44 @@ def index(embeddings: DataFrame, k: int = K, shard_size: int = SHARD_SIZE) -> Da
         return written(dealt.groupBy("shard", "dim").applyInArrow(indexed, INDEX), "ann-index")
 
 
+class Shard:
+    """A row of the index, ready to be searched."""
+
+    def __init__(self, row: dict[str, pa.Scalar]) -> None:
+        of = lambda n: floats(row[n])
+        self.vectors = of("vectors").reshape(-1, row["dim"].as_py())
+        self.graph = Graph(evened(self.vectors), of("bottom"), of("upper"), of("upper_at"), row["entry"].as_py(), row["top"].as_py())
+        self.ids, self.starts = of("ids"), of("starts")
+        self.seen, self.turn = np.zeros(len(self.vectors), np.int64), 0
+
+    def nearest(self, qid: int, q: np.ndarray, k: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k nearest rows of the shard but the query's own."""
+        unit = np.append(q / np.sqrt(q @ q), 0).astype(np.float32)
+        nodes, self.turn = search(self.graph, unit, width, self.seen, self.turn)
+        scores = (self.vectors[nodes] * q).sum(axis=1)  # the same for equal vectors, wherever they stand
+        members = np.concatenate([self.ids[self.starts[x] : self.starts[x + 1]] for x in nodes])
+        each = np.repeat(scores, self.starts[nodes + 1] - self.starts[nodes])
+        other = members != qid
+        members, each = members[other], each[other]
+        order = np.lexsort((members, -each))[:k]
+        return members[order], each[order]
+
+
 def searched(batches: Iterator[pa.RecordBatch], k: int, width: int) -> Iterator[pa.RecordBatch]:
-    """Each row holds a shard of the index and a block of queries; out come the k nearest of the shard for each query."""
+    """Rows come by (dim, shard): first the shard's, without qids, then blocks of queries; out come the k nearest of the shard for each query."""
+    of, shard = None, None
     for batch in batches:
         for i in range(batch.num_rows):
             row = {n: batch.column(n)[i] for n in batch.schema.names}
-            dim = row["dim"].as_py()
-            vectors = floats(row["vectors"]).reshape(-1, dim)
-            of = lambda n, r=row: floats(r[n])
-            g = Graph(evened(vectors), of("bottom"), of("upper"), of("upper_at"), row["entry"].as_py(), row["top"].as_py())
-            ids, starts = of("ids"), of("starts")
-            queries, qids = floats(row["qv"]).reshape(-1, dim), of("qids")
-            seen, turn = np.zeros(len(vectors), np.int64), 0
-            out: tuple[list, list, list] = ([], [], [])
-            for qid, q in zip(qids.tolist(), queries, strict=True):
-                length = float(np.sqrt(q @ q))
-                nodes, turn = search(g, np.append(q / length, 0).astype(np.float32), width, seen, turn)
-                scores = (vectors[nodes] * q).sum(axis=1)  # the same for equal vectors, wherever they stand
-                counts = starts[nodes + 1] - starts[nodes]
-                members = np.concatenate([ids[starts[x] : starts[x + 1]] for x in nodes])
-                each = np.repeat(scores, counts)
-                other = members != qid
-                members, each = members[other], each[other]
-                order = np.lexsort((members, -each))[:k]
-                out[0].extend([qid] * len(order))
-                out[1].extend(members[order].tolist())
-                out[2].extend(each[order].tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "vec_id", "score"])
+            if not row["qids"].is_valid:
+                of, shard = (row["dim"], row["shard"]), Shard(row)
+            elif of == (row["dim"], row["shard"]):  # else no row of the index has as many components
+                qids = floats(row["qids"])
+                queries = floats(row["qv"]).reshape(-1, row["dim"].as_py())
+                found = [shard.nearest(qid, q, k, width) for qid, q in zip(qids.tolist(), queries, strict=True)]
+                sizes = [len(ids) for ids, _ in found]
+                columns = [np.repeat(qids, sizes), np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
 
 
 def nearest(index_rows: DataFrame, queries: DataFrame, k: int = K, width: int = SEARCH_WIDTH, block: int = QUERY_BLOCK) -> DataFrame:
@@ -250,15 +266,17 @@ def nearest(index_rows: DataFrame, queries: DataFrame, k: int = K, width: int =
     spark = queries.sparkSession
     queries = written(queries.dropDuplicates(["vec_id", "v"]), "ann-queries")
     blocks = max(1, -(-queries.count() // block))
+    shards = (index_rows.agg(F.max("shard").alias("s")).first()["s"] or 0) + 1
+    copies = max(1, min(blocks, -(-spark.sparkContext.defaultParallelism // shards)))
     dealt = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    dealt = dealt.groupBy("block", F.col("dim").alias("qdim")).agg(F.collect_list(F.struct("vec_id", "v")).alias("q"))
-    dealt = dealt.select("block", "qdim", F.col("q.vec_id").alias("qids"), F.flatten(F.col("q.v")).alias("qv"))
-    every = index_rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    both = every.join(dealt, (every["block"] == dealt["block"]) & (every["dim"] == dealt["qdim"])).select(*index_rows.columns, dealt["block"], "qids", "qv")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    dealt = dealt.groupBy("block", "dim").agg(F.collect_list(F.struct("vec_id", "v")).alias("q"))
+    dealt = dealt.select("dim", (F.col("block") % copies).alias("copy"), F.col("block").alias("turn"), F.col("q.vec_id").alias("qids"), F.flatten(F.col("q.v")).alias("qv"))
+    dealt = written(dealt, "ann-blocks").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    graphs = index_rows.withColumns({"copy": F.explode(F.sequence(F.lit(0), F.lit(copies - 1))), "turn": F.lit(-1)})
+    both = graphs.unionByName(dealt, allowMissingColumns=True)
     with small_batches(spark):
-        found = both.repartition(parts, "shard", "block").mapInArrow(lambda b: searched(b, k, width), "query_id long, vec_id long, score double")
-        found = written(found, "ann-found")
+        sent = both.repartition(shards * copies, "dim", "shard", "copy").sortWithinPartitions("dim", "shard", "copy", "turn")
+        found = written(sent.mapInArrow(lambda b: searched(b, k, width), "query_id long, vec_id long, score double"), "ann-found")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
