@@ -123,6 +123,31 @@ def test_warc(spark, tmp_path):
     assert warc.archived(pages.limit(0)).count() == 0
 
 
+def test_warc_sizes_and_ids(spark, tmp_path):
+    """Archives bounded by bytes whatever the order of sizes, ids of their own for rows that differ, and repeated rows."""
+    rng = random.Random(4)
+    rows = [(i, f"u{i}", "".join(rng.choice("abc ") for _ in range(rng.choice([10, 900, 5000, 40_000])))) for i in range(120)]
+    rows += [(500 + i, None, "L" * 900_000 + str(i % 2)) for i in range(6)] + [(600, "u", "Z" * 3_000_000)]
+    rows += [(3, "another", rows[3][2]), (700, "x", "R" * 2000), (700, "x", "R" * 2000), (700, "y", "R" * 2000), (None, "n", "R" * 2000), (None, None, None), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = warc.write_archives(pages.coalesce(1), f"file://{tmp_path}/warc", archive_bytes=1 << 20)
+    files = [x for p in (tmp_path / "warc").glob("part-*") if (x := p.read_bytes())]
+    assert all(len(x) <= 1 << 20 or x.count(b"WARC/1.1\r\n") == 1 for x in files)
+    records = [r for x in files for r in warc.parsed(x)]
+    assert len(records) == len(rows)
+    assert len({r[0] for r in records}) == len({(p, u, h) for p, u, h in rows})
+    dates = {x.split(b"WARC-Date: ")[1][:10] for x in files}
+    assert len(dates) <= 2 and b"2020-01-01" not in dates
+    found = warc.resolved(warc.read_records(spark, path)).collect()
+    assert len(found) == len(rows) and sum(r.payload_bytes for r in found) == sum(len((h or "").encode()) for _, _, h in rows)
+    assert sorted(r.refers_to for r in found if r.page_id is not None and 500 <= r.page_id < 600 and r.record_type == "revisit") == [504, 504, 505, 505]
+    assert {(r.record_type, r.refers_to) for r in found if r.page_id == 700} == {("response", None)}
+    from pyspark.errors import PySparkException
+
+    with pytest.raises(PySparkException, match="revisit without its response"):
+        warc.resolved(warc.read_records(spark, path).where("page_id <> 504")).collect()
+
+
 def test_warc_damage():
     record = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nWARC-Payload-Digest: sha1:00\r\nContent-Length: 5\r\n\r\nA\r\n\r\n\r\n\r\n"
     with pytest.raises(ValueError, match="digest"):
