@@ -1,16 +1,23 @@
 """License scans: MinHash bands over overlapping windows, then exact containment.
 
 Words are runs of ASCII letters and digits (and of any other non-ASCII
-characters), lower-cased. For templates of about t words, a document is cut into windows of 2t words, each
-overlapping half of the next, so a passage as long as the template lies whole in
-some window. A window that holds 75 % of a template's 5-word shingles has a
-Jaccard similarity of at least 0.23 to it (lengths are rounded up by at most a
-half); with ``BANDS`` bands of one minhash, one of them retrieves the template
-with probability 1 - (1 - 0.23)^40 > 0.9999. Each retrieved pair of window and
-template is then judged by exact containment on the full shingle sets.
-
-Window minima come from minima of half windows. The work is one pass over the texts in Arrow batches: nothing is
-shuffled; the templates, a bounded list, go with the code.
+characters), lower-cased. Templates are classed by length, in 5-word shingles:
+1, 2, 3, 4, 6, 8, 12 and so on, each rounded up. For the class of h a document is
+cut into windows of 2h shingles, each overlapping half of the next, so a passage
+as long as the template lies whole in some window. A window that holds 75 % of a
+template's shingles has a Jaccard similarity of at least 0.23 to it; with
+``BANDS`` bands of one minhash, one of them retrieves the template with
+probability 1 - (1 - 0.23)^40 > 0.9999. Templates of 2 and 3 shingles have to be
+there whole, a similarity of 0.5, for which half the bands miss one in a million;
+those of one shingle have windows of one, which always meet them. Each retrieved pair of window and template is then
+judged by exact containment on the full shingle sets, over the window and one
+more to either side, for passages with words put in.
+
+Window minima come from minima of half windows, and those of a class from the
+class of half its length, so a text is hashed once and the work of all classes is
+a few passes over it. Long texts are hashed in pieces. The work is one pass over
+the texts in Arrow batches: nothing is shuffled; the templates, a bounded list,
+go with the code.
 
 Defined results
 - null or empty text, or one without words: no match.
@@ -34,7 +41,9 @@ from tessera.llm.near_dedup import SHINGLE, WordHashes, mixed, numbers
 
 BANDS = 40
 CONTAINMENT = 0.75
-WHOLE = 8192
+#: Shingles hashed at a time: a multiple of the blocks of 8 and 12; and what windows of up to 12 read beyond them.
+PIECE, BEYOND = 2040, 12
+LOW_BITS = np.uint64((1 << 18) - 1)
 #: Templates go to every task with the code, so their total size is checked.
 MAX_TEMPLATE_BYTES = 16 << 20
 KEEP = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
@@ -91,61 +100,89 @@ def ordered_shingles(text: str | None, hashes: WordHashes) -> tuple[np.ndarray,
     return mixed(s), len(h)
 
 
+def class_of(n: int) -> int:
+    """The least of 1, 2, 3, 4, 6, 8, 12, ... that isn't less than n."""
+    if n == 1:
+        return 1
+    power = 2
+    while power < n:
+        power *= 2
+    return 3 * power // 4 if power > 2 and 3 * power // 4 >= n else power
+
+
+def blocked(low: np.ndarray, size: int) -> np.ndarray:
+    """The minima of blocks of ``size`` columns; the last may be shorter."""
+    whole = low.shape[1] // size * size
+    out = low[:, :whole:size]
+    for i in range(1, size):
+        out = np.minimum(out, low[:, i:whole:size])
+    return out if whole == low.shape[1] else np.concatenate([out, low[:, whole:].min(axis=1, keepdims=True)], axis=1)
+
+
 class Index:
-    """Templates by length class; each class has the sorted band keys of its templates."""
+    """Templates by length class; each class has the sorted minima of its templates, and whose they are."""
 
     def __init__(self, templates: Mapping[str, str], bands: int = BANDS) -> None:
         hashes = WordHashes()
         self.mask, self.factor = numbers(bands, 71)[:, None], numbers(bands, 83)[:, None]
-        self.band = mixed(np.arange(1, bands + 1, dtype=np.uint64))[:, None]
         self.names, self.sets = [], []
-        by_half: dict[int, list[int]] = {}
+        by_class: dict[int, list[int]] = {}
         for name, text in sorted(templates.items()):
             s, _ = ordered_shingles(text, hashes)
-            if not len(s):
-                continue
-            half = 4
-            while half < len(s):
-                half += (half + 1) // 2
-            by_half.setdefault(half, []).append(len(self.names))
-            self.names.append(name)
-            self.sets.append(np.unique(s))
-        self.classes = []
-        for half, which in sorted(by_half.items()):
-            keys = np.concatenate([mixed(self.hashed(self.sets[i]).min(axis=1, keepdims=True) ^ self.band).ravel() for i in which])
-            owner = np.repeat(which, bands)
+            if len(s):
+                by_class.setdefault(class_of(len(s)), []).append(len(self.names))
+                self.names.append(name)
+                self.sets.append(np.unique(s))
+        self.classes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for half, which in by_class.items():
+            # a window of one shingle is its own minimum
+            used = 1 if half == 1 else bands // 2 if half < 4 else bands
+            keys = np.concatenate([self.sets[i] if half == 1 else self.hashed(self.sets[i])[:used].min(axis=1) for i in which])
+            owner = np.repeat(which, used)
             order = np.argsort(keys, kind="stable")
-            self.classes.append((half, keys[order], owner[order]))
+            some = np.zeros(int(LOW_BITS) + 1, bool)  # which low bits keys have, to look up few others
+            some[keys & LOW_BITS] = True
+            self.classes[half] = some, keys[order], owner[order]
 
     def hashed(self, s: np.ndarray) -> np.ndarray:
         return (s[None, :] ^ self.mask) * self.factor
 
+    def met(self, low: np.ndarray, half: int, most: int) -> set[tuple[int, int]]:
+        """(template, window) where a window's minimum is a template's; of the first ``most`` windows."""
+        some, keys, owner = self.classes[half]
+        low = low[: len(low) // 2] if 1 < half < 4 else low
+        low = np.minimum(low[:, :most][:, : max(1, low.shape[1] - 1)], low[:, 1 : most + 1]) if half > 1 and low.shape[1] > 1 else low[:, :most]
+        out = set()
+        for place in np.flatnonzero(some[low & LOW_BITS]):
+            b, w = divmod(int(place), low.shape[1])
+            for k in range(*np.searchsorted(keys, [low[b, w], low[b, w] + np.uint64(1)])):
+                out.add((int(owner[k]), w))
+        return out
+
     def retrieved(self, s: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(template, first, end) of windows of shingles that share a band with a template of their class."""
-        # hashed once for all classes, unless that takes too much memory
-        whole = self.hashed(s) if len(s) <= WHOLE else None
-        for half, keys, owner in self.classes:
-            # about 2,000 shingles at a time, in whole half windows
-            size = half * max(1, 2048 // half) if whole is None else len(s)
-            blocks = []
-            for i in range(0, len(s), size):
-                part = self.hashed(s[i : i + size]) if whole is None else whole
-                blocks.append(np.minimum.reduceat(part, np.arange(0, part.shape[1], half), axis=1))
-            low = np.concatenate(blocks, axis=1)
-            if low.shape[1] > 1:
-                low = np.minimum(low[:, :-1], low[:, 1:])
-            wanted = mixed(low ^ self.band)
-            at = np.searchsorted(keys, wanted)
-            at[at == len(keys)] = 0
-            hit = keys[at] == wanted
-            pairs = set()
-            for b, w in zip(*np.nonzero(hit), strict=True):
-                k = at[b, w]
-                while k < len(keys) and keys[k] == wanted[b, w]:
-                    pairs.add((int(owner[k]), int(w)))
-                    k += 1
-            for template, w in sorted(pairs):
-                yield template, w * half, min(len(s), (w + 2) * half)
+        """(template, first, end): windows of shingles that share a band with a template of their class, and a window more to either side."""
+        near = lambda half, w, i=0: (max(0, i + (w - 2) * half), min(len(s), i + (w + 4) * half))
+        if 1 in self.classes:
+            for template, w in sorted(self.met(s[None, :], 1, len(s))):
+                yield template, w, w + 1
+        blocks: dict[int, list[np.ndarray]] = {8: [], 12: []}
+        for i in range(0, len(s), PIECE):
+            own = self.hashed(s[i : i + PIECE + BEYOND])
+            for base in (2, 3):
+                low = blocked(own, base)
+                for half in (base, 2 * base):
+                    low = low if half == base else blocked(low, 2)
+                    if half in self.classes:
+                        for template, w in sorted(self.met(low, half, PIECE // half)):
+                            yield template, *near(half, w, i)
+                blocks[4 * base].append(blocked(low[:, : PIECE // (2 * base)], 2))
+        for half, parts in blocks.items():
+            low = np.concatenate(parts, axis=1) if parts else np.empty((len(self.mask), 0), np.uint64)
+            while low.shape[1] and half <= max(self.classes):
+                if half in self.classes:
+                    for template, w in sorted(self.met(low, half, low.shape[1])):
+                        yield template, *near(half, w)
+                low, half = blocked(low, 2), 2 * half
 
     def matches(self, text: str | None, hashes: WordHashes, containment: float) -> list[tuple[str, float, int, int]]:
         s, n_words = ordered_shingles(text, hashes)

@@ -145,3 +145,27 @@ def entities(text):
         else:
             at += 1
     return out
+
+
+def license_shingles(text):
+    w = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in text.encode()).split()
+    return [tuple(w[i : i + 5]) for i in range(len(w) - 4)] if len(w) >= 5 else [tuple(w)]
+
+
+def contained(text, template):
+    """The share of a template's shingles that a text has anywhere."""
+    own = set(license_shingles(template))
+    return len(own & set(license_shingles(text))) / len(own)
+
+
+def licenses(rows, templates):
+    """(id, name) where some place of a template's length has three quarters of its shingles."""
+    out = set()
+    for name, template in templates.items():
+        own = license_shingles(template)
+        different = set(own)
+        for i, text in rows:
+            s = license_shingles(text)
+            if any(4 * len(different & set(s[k : k + len(own)])) >= 3 * len(different) for k in range(max(1, len(s) - len(own) + 1))):
+                out.add((i, name))
+    return out

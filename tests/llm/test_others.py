@@ -193,6 +193,45 @@ def test_licenses_of_other_families(documents):
     assert {*enumerate(names), (len(names), "CC-BY-NC-4.0-line")} <= got
 
 
+def test_licenses_against_a_plain_search(documents):
+    """Every place of every text against every template: of as many words, of which three quarters of the shingles are its own."""
+    rng = random.Random(15)
+    t = license_scan.TEMPLATES
+    short = {n: x for n, x in t.items() if len(x.split()) < 130}
+    common = [w for x in short.values() for w in x.split()]
+    rows = []
+    for i in range(250):  # pieces of notices, whole and cut, in prose made of their words
+        words = []
+        for _ in range(rng.randrange(1, 6)):
+            words += [rng.choice(common) for _ in range(rng.randrange(60))]
+            own = rng.choice(list(short.values())).split()
+            a = rng.randrange(len(own) // 3 + 1)
+            words += own[a : a + rng.randrange(len(own) // 2, len(own) + 1)]
+        rows.append((i, " ".join(words)))
+    rows.append((900, " ".join(rng.choice(common) for _ in range(6000)) + " " + " ".join(short.values())))
+    found = {(r.doc_id, r.license) for r in license_scan.scan(documents(rows), short).collect()}
+    want = brute.licenses(rows, short)
+    assert len(want) > 250 and not want - found
+    # all that is found is in the text at least as far apart as the windows looked at
+    assert found <= {(i, n) for i, x in rows for n in short if brute.contained(x, short[n]) >= 0.75}
+
+
+def test_licenses_with_words_put_in(documents):
+    t = license_scan.TEMPLATES
+    rows = []
+    for n, (name, every) in enumerate((("ISC", 8), ("BSD-2-Clause", 20), ("MIT", 25))):
+        for offset in range(40):
+            words = t[name].split()
+            for k in range(len(words) - 5, 5, -every * 2):
+                words.insert(k, "so")
+            rows.append((100 * n + offset, "z " * offset + " ".join(words) + " y" * 50))
+    found = {(r.doc_id, r.license) for r in license_scan.scan(documents(rows)).collect()}
+    for i, text in rows:
+        name = ("ISC", "BSD-2-Clause", "MIT")[i // 100]
+        if brute.contained(text, t[name]) >= 0.75:
+            assert (i, name) in found, (i, name)
+
+
 # -- site quality
 
 
