@@ -18,6 +18,7 @@ Defined results
 - null or empty text: counts of 0. Null host or path: a group of its own.
 - null doc_id: judged like any other; never part of the sample.
 - repeated rows: each counts. Documents with both labels count as bad.
+- very long texts: counts only, which don't grow with them.
 - labels empty, or all alike: evidence 0.5 for all, which is kept.
 - an empty table: empty result. Extra columns are ignored.
 """
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import BLANKS, bare, let, words, written
 
-#: At most so many labelled documents, those of least hash, fit the classifier.
+#: At most so many labelled ids, those of least hash, fit the classifier, with at most twice as many rows, as ids may be repeated.
 MAX_LABELLED = 20_000
 THRESHOLD = 0.5
 FEATURES = 9

@@ -169,3 +169,49 @@ def licenses(rows, templates):
             if any(4 * len(different & set(s[k : k + len(own)])) >= 3 * len(different) for k in range(max(1, len(s) - len(own) + 1))):
                 out.add((i, name))
     return out
+
+
+def evidence_counts(text):
+    """The nine numbers of a text that the site classifier is fitted on."""
+    text = text or ""
+    w, lines = words(text), [x for x in text.split("\n") if words(x)]
+    plain = sum(map(len, w))
+    share = lambda chars: sum(c in chars for c in text) / max(plain, 1)
+    return [
+        np.log1p(len(w)), plain / max(len(w), 1), len(set(w)) / max(len(w), 1), (len(lines) - len(set(lines))) / max(len(lines), 1),
+        share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), share("0123456789"), share("#*$%&|<>{}[]~^_=+\\@"), share("!?"), share(".,;:"),
+    ]
+
+
+def site_posteriors(rows, least=1e-4):
+    """(host, path, evidence) rows to their (host quality, path quality, quality), group by group."""
+    mean = np.mean([p for _, _, p in rows])
+
+    def grouped(by):
+        out = {}
+        for r in rows:
+            out.setdefault(by(r), []).append(r[2])
+        return out
+
+    def kappa(groups, parent):
+        n, g = sum(map(len, groups.values())), len(groups)
+        within = max(sum(len(x) * np.var(x) for x in groups.values()), 0) / max(n - g, 1)
+        around = sum(len(x) * (np.mean(x) - parent[k]) ** 2 for k, x in groups.items())
+        size = max(n - sum(len(x) ** 2 for x in groups.values()) / n, 1e-9)
+        return max(within / max((around - (g - 1) * within) / size, 1e-6), 1.0)
+
+    shrunk = lambda groups, parent, k: {key: (sum(x) + k * parent[key]) / (len(x) + k) for key, x in groups.items()}
+    hosts = grouped(lambda r: r[0])
+    top = dict.fromkeys(hosts, mean)
+    host = shrunk(hosts, top, kappa(hosts, top))
+    paths = grouped(lambda r: r[:2])
+    parent = {k: host[k[0]] for k in paths}
+    k = kappa(paths, parent)
+    path = shrunk(paths, parent, k)
+    odds = lambda x: (y := min(max(x, least), 1 - least)) / (1 - y)
+    out = []
+    for h, t, p in rows:
+        others = (sum(paths[h, t]) - p + k * host[h]) / (len(paths[h, t]) - 1 + k)
+        post = odds(p) * odds(others) / odds(mean)
+        out.append((host[h], path[h, t], post / (1 + post)))
+    return out

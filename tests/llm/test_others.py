@@ -265,6 +265,30 @@ def test_site_quality(spark, documents, labels):
     assert site_quality.classify(documents([]), labels([]), F.col("source"), F.col("lang")).count() == 0
 
 
+def test_site_quality_against_plain_sums(spark, documents, labels):
+    """Counts, the fit's gradient, both shrinkages and the posterior odds."""
+    rng = random.Random(21)
+    word = lambda: rng.choice(["Alpha,", "beta", "gamma9", "###", "delta!", "_x=", "é", "\U0001f600."])
+    text = lambda n: "".join(word() + rng.choice([" ", "\n", "  ", "\n\n"]) for _ in range(n))
+    rows = [(i, text(rng.randrange(120)), f"host{min(rng.randrange(12), rng.randrange(12))}") for i in range(400)]
+    rows += [(1000, None, None), (1001, "", "lonely"), (1002, "w " * 300_000, "host1"), (5, rows[5][1], rows[5][2]), (5, rows[5][1], rows[5][2]), (None, "a b", "host2")]
+    df = documents(rows).withColumn("lang", F.when(F.col("doc_id") % 7 == 0, None).otherwise(F.concat(F.lit("p"), (F.col("doc_id") % 3).cast("string"))))
+    for r in df.select("text", site_quality.evidence_counts(F.col("text")).alias("x")).collect():
+        assert r.x == pytest.approx(brute.evidence_counts(r.text))
+    got = site_quality.classify(df, labels([(i, int(len(rows[i][1]) > 300), 0) for i in range(0, 400, 2)]), F.col("source"), F.col("lang")).collect()
+    assert len(got) == len(rows)
+    want = brute.site_posteriors([(r.host, r.path, r.evidence) for r in got])
+    for r, (host, path, quality) in zip(got, want, strict=True):
+        assert (r.host_quality, r.path_quality, r.quality) == pytest.approx((host, path, quality), rel=1e-6)
+        assert r.kept == (r.quality >= site_quality.THRESHOLD)
+    x = np.array([brute.evidence_counts(t) for _, t, _ in rows[:400]])
+    y = np.array([float(len(t) > 300) for _, t, _ in rows[:400]])
+    w, mean, scale = site_quality.fitted(x, y)
+    z = np.hstack([np.clip((x - mean) / scale, -6, 6), np.ones((400, 1))])
+    gradient = z.T @ (y - 1 / (1 + np.exp(-z @ w))) - np.append(w[:-1], 1e-6 * w[-1])
+    assert np.abs(gradient).max() < 1e-6
+
+
 # -- surrogates
 
 
