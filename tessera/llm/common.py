@@ -33,10 +33,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def blank_parts(text: Column) -> Column:
+    """What stands between blanks, empty between neighbouring ones: one part more than blanks."""
+    return F.split(F.translate(F.coalesce(text, F.lit("")), BLANKS, " " * len(BLANKS)), " ", -1)
+
+
 def words(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text in order; none for null."""
-    spaced = F.translate(F.coalesce(text, F.lit("")), BLANKS, " " * len(BLANKS))
-    return F.array_remove(F.split(spaced, " ", -1), "")
+    return F.array_remove(blank_parts(text), "")
 
 
 def word_count(text: Column) -> Column:
