@@ -2,6 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
 kept; all but the last return the columns of ``documents``.
+
+Defined results
+- null, empty and blank texts fail the quality rules and go in the first stage, as do texts of fewer than 50 words.
+- null doc_id: kept where its text is; never a duplicate. Null source: a source of its own.
+- repeated rows: judged alike by the rules; one stays after near-dedup.
+- very long texts are treated whole; packing cuts them into segments.
+- empty documents: an empty result of packing's columns. Empty labels: the base rules alone decide, and the secret models are counted from the built-in samples.
+- extra columns of documents, whatever their names: dropped by the first stage.
 """
 
 from __future__ import annotations
