@@ -25,10 +25,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.errors import QueryError
+from tessera.errors import QueryError, Sort
 from tessera.functions import values as V
 from tessera.functions.numbers import real_to_text, text_to_real
-from tessera.plans.syntax import COMPARISONS, And, Between, Binary, Field, Fixed, In, Is, Like, Lit, Node, Not, Or, Sign, is_constant
+from tessera.plans.syntax import COMPARISONS, And, Between, Binary, Case, Field, Fixed, In, Is, Like, Lit, Node, Not, Or, Sign, is_constant
 from tessera.types import INT_MAX, INT_MIN, Affinity, Schema
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -489,8 +489,45 @@ class Compiler:
             case Not():
                 x = self.value(n.x)
                 return Val(Kind.BOOL, ~truth(x), raised=x.raised)
+            case Case():
+                return self.case(n)
         return self.predicate(n)
 
+    def case(self, n: Case) -> Val:
+        """The first branch that holds; what comes after it doesn't raise. All results are numbers, or all are text."""
+        x = self.value(n.x) if n.x is not None else None
+        raised, open_, chosen = x.raised if x else None, F.lit(True), []
+        for when, result in n.branches:
+            if x is None:
+                test = self.condition(when)
+            else:
+                y = self.value(when)
+                test = Val(Kind.BOOL, comparison("=", x, y, self.affinity(n.x), self.affinity(when)), raised=y.raised)
+            hit, out = F.coalesce(test.col, F.lit(False)), self.value(result)
+            if test.raised is not None:
+                raised = any_of(raised, open_ & test.raised)
+            if out.raised is not None:
+                raised = any_of(raised, open_ & hit & out.raised)
+            open_ = open_ & ~hit
+            chosen.append((hit, out))
+        last = self.value(n.other) if n.other is not None else literal(None)
+        if last.raised is not None:
+            raised = any_of(raised, open_ & last.raised)
+        outs = [number(v) if v.kind is Kind.BOOL else v for v in (*[v for _, v in chosen], last)]
+        some = [v for v in outs if v.kind is not Kind.NULL]
+        kinds = {v.kind for v in some}
+        if not kinds:
+            return replace(literal(None), const=False, raised=raised)
+        if Kind.TEXT in kinds and len(kinds) > 1:
+            raise QueryError(Sort.OMITTED, "no CASE with text in one branch and a number in another", n.at)
+        kind = kinds.pop() if len(kinds) == 1 else Kind.NUM
+        own = (lambda v: F.when(v.known, num_struct(v.i, v.r))) if kind is Kind.NUM else lambda v: v.col
+        none = F.lit(None)
+        col = none if outs[-1].kind is Kind.NULL else own(outs[-1])
+        for (hit, _), v in reversed(list(zip(chosen, outs[:-1], strict=True))):
+            col = F.when(hit, none if v.kind is Kind.NULL else own(v)).otherwise(col)
+        return Val(kind, col, min(v.low for v in some), max(v.high for v in some), raised=raised)
+
     def joined(self, n: And | Or, of: Callable[[Node], Val]) -> Val:
         """All operands of a chain of the same operator."""
         parts, todo = [], [n]

@@ -63,6 +63,10 @@ TEXTS: dict[str, tuple[str, str]] = {
         "SELECT c_custkey FROM customer WHERE c_name LIKE 'customer##%7' ESCAPE '#' OR c_mktsegment LIKE 'b!_%' ESCAPE '!'",
         "SELECT c_custkey FROM customer WHERE lower(c_name) LIKE 'customer##%7' ESCAPE '#' OR lower(c_mktsegment) LIKE 'b!_%' ESCAPE '!'",
     ),
+    "case_when": (
+        "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' END AS state, CASE WHEN o_totalprice > 100000 THEN 2 WHEN o_totalprice > 50000 THEN 1 ELSE 0 END AS size FROM orders",
+        "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' END AS state, CAST(CASE WHEN o_totalprice > 100000 THEN 2 WHEN o_totalprice > 50000 THEN 1 ELSE 0 END AS BIGINT) AS size FROM orders",
+    ),
     "in_list": (
         "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_custkey NOT IN (1, 2, 3.0) AND o_orderstatus IN ('F', NULL)",
         "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_custkey NOT IN (1, 2, 3) AND o_orderstatus = 'F'",

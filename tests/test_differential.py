@@ -197,3 +197,38 @@ def test_running_sum_overflows_although_the_total_fits(spark):
     with pytest.raises(Exception, match="overflow"):
         engine.rows("SELECT sum(i) FROM t")
     assert engine.rows("SELECT avg(i) FROM t") == [((big - 4) / 3,)]
+
+
+CASES = [
+    "CASE WHEN i > 2 THEN i WHEN r THEN r ELSE -1 END",
+    "CASE i WHEN 1 THEN 'one' WHEN '2' THEN s WHEN 3.0 THEN 'three' END",
+    "CASE s WHEN 1 THEN 10 WHEN 'abc' THEN 20 ELSE i / 2 END",
+    "CASE WHEN s LIKE 'a%' THEN r WHEN NULL THEN 1 ELSE NULL END",
+    "CASE WHEN i IS NULL THEN NULL END",
+    "1 + CASE WHEN s THEN i ELSE r END * 2",
+    "CASE WHEN i = 1 THEN i = 1 ELSE r < 1 END",
+    "CASE WHEN i > 1 THEN CASE WHEN r > 0 THEN 'both' ELSE 'i' END ELSE 'none' END || s",
+]
+
+
+@pytest.mark.parametrize("text", CASES)
+def test_case(both, text):
+    check(both, f"SELECT {text} FROM t")
+    check(both, f"SELECT i FROM t WHERE {text}")
+    check(both, f"SELECT count(*), {text} FROM t GROUP BY {text}")
+    check(both, f"SELECT max(CASE WHEN i > 0 THEN i END), sum(CASE WHEN s > '1' THEN 1 ELSE 0 END) FROM t")
+
+
+def test_case_raises_only_where_it_gets(both):
+    engine, _ = both
+    bad = "s LIKE 'x' ESCAPE 'ab'"
+    assert engine.rows(f"SELECT count(CASE WHEN i = 77 THEN {bad} ELSE 1 END) FROM t") == [(12,)]
+    assert engine.rows(f"SELECT count(CASE WHEN 1 THEN 2 WHEN {bad} THEN 1 END) FROM t") == [(12,)]
+    from tessera.errors import QueryError, Sort
+
+    with pytest.raises(QueryError) as e:
+        engine.rows(f"SELECT CASE WHEN i = 1 THEN {bad} END FROM t")
+    assert e.value.sort is Sort.VALUE
+    with pytest.raises(QueryError) as e:
+        engine.rows("SELECT CASE WHEN i = 1 THEN s ELSE i END FROM t")
+    assert e.value.sort is Sort.OMITTED

@@ -77,6 +77,10 @@ def test_bad_tokens(text):
         ("'a' LIKE 'A'", 1),
         ("'ab' LIKE 'a!' ESCAPE '!'", 0),
         ("-9223372036854775808 / -1", 2.0**63),
+        ("CASE WHEN NULL THEN 1 WHEN 2 > 1 THEN 'x' ELSE 3 END", "x"),
+        ("CASE 1 WHEN '1' THEN 2 WHEN 1.0 THEN 3 END", 3),
+        ("CASE NULL WHEN NULL THEN 1 END", None),
+        ("CASE WHEN 1 THEN 2 ELSE 'a' LIKE 'a' ESCAPE 'ab' END + 1", 3),
     ],
 )
 def test_constants(text, out):
@@ -152,7 +156,7 @@ def test_named_rejections(text, what):
     [
         "SELECT path p FROM blame", "SELECT * AS a FROM blame", "SELECT 1 FROM blame LEFT", "SELECT 1 FROM blame JOIN blame", "SELECT 1 FROM blame LIMIT 1, 2",
         "SELECT 1 FROM blame WHERE", "SELECT foo(1, *) FROM blame", "SELECT 1 FROM blame; SELECT 2", "SELECT 1 = NOT 0 FROM blame", "SELECT (1 FROM blame",
-        "SELECT CASE WHEN 1 THEN 2 END FROM blame", "SELECT count(DISTINCT *) FROM blame", "SELECT 1 NOT 2 FROM blame", "SELECT 1 FROM a, b",
+        "SELECT CASE END FROM blame", "SELECT CASE 1 THEN 2 END FROM blame", "SELECT CASE WHEN 1 THEN 2 FROM blame", "SELECT CASE WHEN 1 THEN 2 ELSE END FROM blame", "SELECT count(DISTINCT *) FROM blame", "SELECT 1 NOT 2 FROM blame", "SELECT 1 FROM a, b",
     ],
 )
 def test_parse_errors(text):
@@ -258,6 +262,7 @@ def test_names():
         ("SELECT 1 FROM blame WHERE line_no = '05' AND line_no > 4 AND path IN ('b', 'a')", ["Project (1)", "  ConstantGuard (5 > 4)", "    Filter (line_no = '05' AND 5 > 4 AND path IN ('b', 'a'))", "      Scan (path IN ('b', 'a'))"]),
         ("SELECT -(-line_no), (1 + 2) * 3, 1 - (2 - 3), NOT (path OR line AND 1) FROM blame", ["Project (-(-line_no), (1 + 2) * 3, 1 - (2 - 3), NOT (path OR (line AND 1)))", "  Scan (none)"]),
         ("SELECT count(*) FROM blame GROUP BY path HAVING 1 = 0 AND 0", ["Project (count(*))", "  Filter (0)", "    Aggregate (group=[path], aggs=[count(*)])", "      Scan (none)"]),
+        ("SELECT CASE line WHEN 'a' THEN 1 END, CASE WHEN path = 'x' THEN 2 ELSE -line_no END + 1 FROM blame", ["Project (CASE line WHEN 'a' THEN 1 END, CASE WHEN path = 'x' THEN 2 ELSE -line_no END + 1)", "  Scan (none)"]),
         ("SELECT sum(line_no), 1 + sum(line_no) FROM blame", ["Project (sum(line_no), 1 + sum(line_no))", "  Aggregate (group=[], aggs=[sum(line_no)])", "    Scan (none)"]),
     ],
 )
