@@ -475,3 +475,26 @@ def test_pipeline(spark, tmp_path):
     key = lambda r: (r.doc_id, r.segment, r.n_tokens, r.bucket, r.batch, r.slot)
     assert sorted(map(key, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(map(key, seen[4]))
     assert math.isfinite(total)
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path, documents, labels):
+    """An empty table; nulls in every column, a very long text, repeated rows, and extra columns with clashing names."""
+    import corpus_pipeline
+
+    rng = random.Random(2)
+    prose = lambda n: " ".join(f"{rng.choice('abcdefg')}{rng.randrange(400)}" for _ in range(n))
+    long, twice = prose(30_000), prose(80)
+    rows = [(1, long, "s"), (2, None, "s"), (3, "", None), (None, prose(90), "s"), (None, prose(90), None), (4, twice, "t"), (4, twice, "t"), (5, twice.upper(), "t"), (6, prose(70), None)]
+    for name, some in (("none", []), ("odd", rows)):
+        documents(some).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels([]).write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    docs, left = spark.read.parquet(f"{tmp_path}/odd/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, f"{tmp_path}/odd")
+        docs.write.parquet(f"{tmp_path}/odd/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/odd/{name}")
+        left.append(sorted(str(r.doc_id) for r in docs.select("doc_id").collect()))
+    assert left[0] == ["1", "4", "4", "5", "6", "None", "None"]
+    assert left[1] == left[2] == ["1", "4", "6", "None", "None"]
+    assert set(left[4]) <= set(left[1])
