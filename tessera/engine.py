@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.errors import QueryError, Sort as Trouble, SourceError
-from tessera.functions.native import MARK, Compiler, Kind, Val, double, iso_text, key, literal, num_struct, number, raise_if, sort_key, tree
+from tessera.functions.native import MARK, Compiler, Kind, Val, cells, double, key, num_struct, number, raise_if, sort_key, tree
 from tessera.functions.values import Constant, Value
 from tessera.operators.aggregates import compute
+from tessera.operators.joins import JoinedTable
 from tessera.plans.binder import Bound, bind
 from tessera.plans.parser import parse
 from tessera.plans.plan import Aggregate, Distinct, Filter, Guard, Limit, Op, Project, Scan, Sort, aggregate_schema, chain, explain, output_names, plan, push_down, sql
@@ -22,7 +23,7 @@ from tessera.plans.syntax import Node, Star
 from tessera.sources.base import ROW_ID, Table
 from tessera.types import Affinity, Schema, fold
 
-_KIND = {Affinity.TEXT: Kind.TEXT, Affinity.INTEGER: Kind.INT, Affinity.REAL: Kind.REAL}
+_SPARK = {Affinity.TEXT: "string", Affinity.INTEGER: "bigint", Affinity.REAL: "double"}
 
 
 @contextlib.contextmanager
@@ -39,17 +40,13 @@ def deep() -> Iterator[None]:
 class Query:
     """A planned query; nothing runs before rows are asked for."""
 
-    def __init__(self, engine: Engine, bound: Bound, op: Op) -> None:
-        self.engine, self.bound, self.op = engine, bound, op
+    def __init__(self, engine: Engine, bound: Bound, op: Op, table: Table) -> None:
+        self.engine, self.bound, self.op, self.table = engine, bound, op, table
 
     @property
     def names(self) -> list[str]:
         return output_names(self.bound.items)
 
-    @property
-    def table(self) -> Table:
-        return self.engine.tables[chain(self.op)[-1].table]
-
     def explain(self) -> str:
         def line(scan: Scan) -> str:
             terms = ", ".join(map(sql, scan.pushed)) or "none"
@@ -91,9 +88,11 @@ class Engine:
         with deep():
             bound = bind(parse(text), {n: t.schema for n, t in self.tables.items()})
             op = plan(bound)
+            every = [self.tables[s.table] for s in bound.sources]
+            table = every[0] if len(every) == 1 else JoinedTable(bound.schema, bound.sources, every)
             if pushdown:
-                push_down(op, self.tables[bound.table].accepts)
-        return Query(self, bound, op)
+                push_down(op, table.accepts)
+        return Query(self, bound, op, table)
 
     def frame(self, text: str) -> DataFrame:
         return self.query(text).frame()
@@ -142,24 +141,13 @@ class _Build:
 
     def scan(self, scan: Scan, nothing: bool, few: bool) -> None:
         if nothing:
-            kinds = {Affinity.TEXT: "string", Affinity.INTEGER: "bigint", Affinity.REAL: "double"}
-            types = [f"c{i} {'timestamp_ntz' if c.iso else kinds[c.affinity]}" for i, c in enumerate(self.schema.columns) if not c.refused]
+            types = [f"c{i} {'timestamp_ntz' if c.iso else _SPARK[c.affinity]}" for i, c in enumerate(self.schema.columns) if not c.refused]
             self.df, self.ordered = self.spark.createDataFrame([], ", ".join(types)), False
         else:
             self.df = self.table.frame(self.spark, scan.pushed, few)
             self.ordered = ROW_ID in self.df.columns
         self.in_order = self.ordered and self.table.in_order
-        kinds_of = dict(self.df.dtypes)
-        self.row = []
-        for i, c in enumerate(self.schema.columns):
-            own = F.col(f"c{i}")
-            if c.refused:
-                self.row.append(literal(None))
-            elif c.iso:
-                instant = kinds_of[f"c{i}"] == "timestamp"
-                self.row.append(Val(Kind.TEXT, iso_text(own, instant), stamp=own, instant=instant))
-            else:
-                self.row.append(Val(_KIND[c.affinity], own, c.low, c.high))
+        self.row = cells(self.schema, dict(self.df.dtypes))
 
     def filter(self, f: Filter) -> None:
         vals = [self.compiler.condition(t) for t in f.terms]

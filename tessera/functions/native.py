@@ -14,7 +14,7 @@ when Spark evaluates what.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 from datetime import datetime, timedelta
 from enum import Enum
@@ -456,6 +456,34 @@ def _java(pattern: str, escape: str | None) -> str:
     return "".join(out)
 
 
+# -- rows
+
+
+_KIND = {Affinity.TEXT: Kind.TEXT, Affinity.INTEGER: Kind.INT, Affinity.REAL: Kind.REAL}
+
+
+def cells(schema: Schema, types: Mapping[str, str], first: int = 0) -> list[Val]:
+    """The values of a table's columns, which are named c0, c1, ... from ``first`` on; ``types`` are Spark's by name."""
+    row = []
+    for i, c in enumerate(schema.columns, first):
+        own = F.col(f"c{i}")
+        if c.refused:
+            row.append(literal(None))
+        elif c.iso:
+            instant = types[f"c{i}"] == "timestamp"
+            row.append(Val(Kind.TEXT, iso_text(own, instant), stamp=own, instant=instant))
+        else:
+            row.append(Val(_KIND[c.affinity], own, c.low, c.high))
+    return row
+
+
+def equal(a: Val, b: Val, of_a: Affinity | None, of_b: Affinity | None) -> Column:
+    """Equality of two columns in a form that Spark can join by: the values themselves, or the keys that values of any kind compare by."""
+    a, b = matched(a, b, of_a, of_b)
+    plain = a.kind is b.kind and a.kind in (Kind.INT, Kind.REAL, Kind.TEXT)
+    return a.col == b.col if plain else key(a) == key(b)
+
+
 # -- whole expressions
 
 

@@ -67,6 +67,22 @@ TEXTS: dict[str, tuple[str, str]] = {
         "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' END AS state, CASE WHEN o_totalprice > 100000 THEN 2 WHEN o_totalprice > 50000 THEN 1 ELSE 0 END AS size FROM orders",
         "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' END AS state, CAST(CASE WHEN o_totalprice > 100000 THEN 2 WHEN o_totalprice > 50000 THEN 1 ELSE 0 END AS BIGINT) AS size FROM orders",
     ),
+    "inner_join": (
+        "SELECT c_mktsegment, o_orderpriority, count(*) AS n, sum(o_custkey % 7) AS s FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 0 AND o_orderstatus <> 'P' GROUP BY c_mktsegment, o_orderpriority",
+        "SELECT c_mktsegment, o_orderpriority, count(*) AS n, CAST(sum(o_custkey % 7) AS BIGINT) AS s FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 0 AND o_orderstatus <> 'P' GROUP BY ALL",
+    ),
+    "join_chain": (
+        "SELECT r_name, n_name, count(*) AS n, max(s_acctbal) AS top FROM supplier INNER JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey AND r_name <> 'ASIA' GROUP BY r_name, n_name",
+        "SELECT r_name, n_name, count(*) AS n, max(s_acctbal) AS top FROM supplier INNER JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey AND r_name <> 'ASIA' GROUP BY ALL",
+    ),
+    "self_join": (
+        "SELECT a.n_name AS one, b.n_name AS other FROM nation AS a JOIN nation AS b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",
+        "SELECT a.n_name AS one, b.n_name AS other FROM nation AS a JOIN nation AS b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",
+    ),
+    "join_using": (
+        "SELECT doc_id, source, quality, toxic FROM documents JOIN labels USING (doc_id) WHERE quality = 0 AND n_chars > 100",
+        "SELECT doc_id, source, CAST(quality AS BIGINT) AS quality, CAST(toxic AS BIGINT) AS toxic FROM documents JOIN labels USING (doc_id) WHERE quality = 0 AND n_chars > 100",
+    ),
     "in_list": (
         "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_custkey NOT IN (1, 2, 3.0) AND o_orderstatus IN ('F', NULL)",
         "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_custkey NOT IN (1, 2, 3) AND o_orderstatus = 'F'",
@@ -228,7 +244,8 @@ TEXTS: dict[str, tuple[str, str]] = {
 
 def _run(text: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return Engine(spark, catalog(spark, sf_dir, [parse(text).table.lower()])).frame(text)
+        q = parse(text)
+        return Engine(spark, catalog(spark, sf_dir, sorted({x.table.lower() for x in (q, *q.joins)}))).frame(text)
 
     return run
 

@@ -232,3 +232,55 @@ def test_case_raises_only_where_it_gets(both):
     with pytest.raises(QueryError) as e:
         engine.rows("SELECT CASE WHEN i = 1 THEN s ELSE i END FROM t")
     assert e.value.sort is Sort.OMITTED
+
+
+OTHER = [("1", 1), ("abc", 2), ("12x", 2), (None, 3), ("1.0", None), ("abc", 9007199254740993), ("0.5", 0)]
+OTHER_SCHEMA = Schema((Column("s", Affinity.TEXT), Column("k", Affinity.INTEGER)))
+JOINS = [
+    "SELECT t.s, u.s, i, k FROM t JOIN u ON t.s = u.s",
+    "SELECT t.s, k FROM t INNER JOIN u ON k = i",
+    "SELECT s, i, k FROM t JOIN u USING (s)",
+    "SELECT * FROM t JOIN u USING (s)",
+    "SELECT t.*, u.s FROM t JOIN u ON t.i = u.k AND t.s <> u.s",
+    "SELECT i, r, k FROM t JOIN u ON r = k",
+    "SELECT i, u.s FROM t JOIN u ON i = u.s",
+    "SELECT t.s, k FROM t JOIN u ON u.s = r WHERE k > 0 OR t.s LIKE 'a%'",
+    "SELECT a.i, b.i FROM t AS a JOIN t AS b ON a.s = b.s AND a.i < b.i",
+    "SELECT a.k, b.k, t.i FROM u AS a JOIN u AS b ON a.s = b.s JOIN t ON t.i = b.k AND t.i = a.k",
+    "SELECT u.s, count(*), sum(i), max(k) FROM t JOIN u ON t.i = u.k GROUP BY u.s HAVING count(*) > 0 ORDER BY 1",
+    "SELECT DISTINCT k FROM t JOIN u ON t.s = u.s WHERE 1 = 1 AND k = 2",
+    "SELECT count(*) FROM t JOIN u ON t.s = u.s WHERE 0",
+    "SELECT s AS k FROM t JOIN u USING (s) ORDER BY k LIMIT 2",
+]
+
+
+@pytest.mark.parametrize("text", JOINS)
+def test_joins(spark, both, text):
+    _, db = both
+    db.execute("drop table if exists u")
+    db.execute("create table u(s TEXT, k INTEGER)")
+    db.executemany("insert into u values (?, ?)", OTHER)
+    check((Engine(spark, {"t": MemoryTable(SCHEMA, ROWS), "u": MemoryTable(OTHER_SCHEMA, OTHER)}), db), text)
+
+
+@pytest.mark.parametrize(
+    ("text", "what"),
+    [
+        ("SELECT s FROM t JOIN u ON t.s = u.s", "ambiguous column name: s"),
+        ("SELECT 1 FROM t JOIN t ON i = i", "two tables are named t"),
+        ("SELECT 1 FROM t JOIN v ON i = k", "no such table: v"),
+        ("SELECT 1 FROM t JOIN u USING (k)", "no such column: k"),
+        ("SELECT 1 FROM t JOIN u ON i > k", "no join without an equality"),
+        ("SELECT 1 FROM t JOIN u ON count(*) = k", "misuse of aggregate function count"),
+        ("SELECT t.i FROM t AS x JOIN u ON i = k", "no such column: t.i"),
+        ("SELECT 1 FROM t JOIN u AS x ON x.s = later.s JOIN u AS later ON x.s = later.s", "no such column: later.s"),
+        ("SELECT 1 FROM t JOIN u", "ON or USING must follow"),
+        ("SELECT 1 FROM t LEFT JOIN u ON i = k", "no outer and cross joins"),
+    ],
+)
+def test_wrong_joins(spark, text, what):
+    from tessera.errors import QueryError
+
+    engine = Engine(spark, {"t": MemoryTable(SCHEMA, ROWS), "u": MemoryTable(OTHER_SCHEMA, OTHER)})
+    with pytest.raises(QueryError, match=what.replace("(", r"\(")):
+        engine.frame(text)

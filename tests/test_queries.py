@@ -49,3 +49,13 @@ def test_scans_are_narrow(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<l_orderkey:bigint,l_returnflag:string,l_shipdate:timestamp" in plan
     assert "GreaterThanOrEqual(l_shi" in plan and "Python" not in plan and "Arrow" not in plan
+
+
+def test_joins_are_narrow(spark):
+    """Only the columns used are read on either side, their terms reach both scans, and equal columns are the join's keys."""
+    df = base.QUERIES["inner_join"](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<c_custkey:bigint,c_acctbal:double,c_mktsegment:string>" in plan
+    assert "ReadSchema: struct<o_custkey:bigint,o_orderstatus:string,o_orderpriority:string>" in plan
+    assert "GreaterThan(c_acctbal" in plan and "Not(EqualTo(o_orderstatus" in plan
+    assert "HashJoin" in plan and "NestedLoop" not in plan and "Cartesian" not in plan
