@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bare, small_batches, written
+from tessera.llm.common import bare, forget, small_batches, written
 
 K = 20
 SHARD_SIZE = 16384
@@ -218,7 +218,9 @@ def index(embeddings: DataFrame, k: int = K, shard_size: int = SHARD_SIZE) -> Da
     shards = max(1, -(-n // shard_size))
     dealt = least.select(F.pmod("h1", F.lit(shards)).cast("int").alias("shard"), "dim", "vec_id", "v")
     with small_batches(spark):
-        return written(dealt.groupBy("shard", "dim").applyInArrow(indexed, INDEX), "ann-index")
+        out = written(dealt.groupBy("shard", "dim").applyInArrow(indexed, INDEX), "ann-index")
+    forget(least)
+    return out
 
 
 class Shard:
@@ -271,12 +273,14 @@ def nearest(index_rows: DataFrame, queries: DataFrame, k: int = K, width: int =
     dealt = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
     dealt = dealt.groupBy("block", "dim").agg(F.collect_list(F.struct("vec_id", "v")).alias("q"))
     dealt = dealt.select("dim", (F.col("block") % copies).alias("copy"), F.col("block").alias("turn"), F.col("q.vec_id").alias("qids"), F.flatten(F.col("q.v")).alias("qv"))
-    dealt = written(dealt, "ann-blocks").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    blocked = written(dealt, "ann-blocks")
+    dealt = blocked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     graphs = index_rows.withColumns({"copy": F.explode(F.sequence(F.lit(0), F.lit(copies - 1))), "turn": F.lit(-1)})
     both = graphs.unionByName(dealt, allowMissingColumns=True)
     with small_batches(spark):
         sent = both.repartition(shards * copies, "dim", "shard", "copy").sortWithinPartitions("dim", "shard", "copy", "turn")
         found = written(sent.mapInArrow(lambda b: searched(b, k, width), "query_id long, vec_id long, score double"), "ann-found")
+    forget(queries, blocked)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -284,4 +288,7 @@ def nearest(index_rows: DataFrame, queries: DataFrame, k: int = K, width: int =
 def neighbours(embeddings: DataFrame, every: int = 20, k: int = K) -> DataFrame:
     """The k nearest other rows of each row whose vec_id ``every`` divides."""
     rows = usable(embeddings)
-    return nearest(index(rows, k), rows.where(F.col("vec_id") % every == 0), k)
+    graphs = index(rows, k)
+    found = nearest(graphs, rows.where(F.col("vec_id") % every == 0), k)
+    forget(graphs)  # what was found is in a table of its own
+    return found

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BLANKS, bare, let, words, written
+from tessera.llm.common import BLANKS, bare, forget, let, words, written
 
 #: At most so many labelled ids, those of least hash, fit the classifier, with at most twice as many rows, as ids may be repeated.
 MAX_LABELLED = 20_000
@@ -119,10 +119,11 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, *,
     k_host = spread(hosts, F.col("m"))
     hosts = hosts.withColumn("k", k_host.scalar()).withColumn("host_quality", (F.col("s") + F.col("k") * F.col("m")) / (F.col("n") + F.col("k")))
     hosts = written(hosts.select(F.col("host").alias("h"), "m", "host_quality"), "quality-hosts")
-    paths = paths.join(hosts, F.col("host").eqNullSafe(F.col("h")))
-    k_path = spread(paths, F.col("host_quality"))
-    paths = written(paths.withColumn("k", k_path.scalar()).select("h", F.col("path").alias("t"), "n", "s", "m", "k", "host_quality"), "quality-sites")
-    both = rows.join(paths, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("t")), "left")
+    both = paths.join(hosts, F.col("host").eqNullSafe(F.col("h")))
+    k_path = spread(both, F.col("host_quality"))
+    sites = written(both.withColumn("k", k_path.scalar()).select("h", F.col("path").alias("t"), "n", "s", "m", "k", "host_quality"), "quality-sites")
+    forget(paths, hosts)
+    both = rows.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("t")), "left")
     site = (F.col("s") + F.col("k") * F.col("host_quality")) / (F.col("n") + F.col("k"))
     others = (F.col("s") - F.col("p") + F.col("k") * F.col("host_quality")) / (F.col("n") - 1 + F.col("k"))
     inner = lambda x: F.least(F.greatest(x, F.lit(LEAST)), F.lit(1 - LEAST))

@@ -42,7 +42,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower, let, written
+from tessera.llm.common import ascii_lower, forget, let, written
 from tessera.llm.spans import blanked, find, replaced
 
 KEY = "change-me"
@@ -235,16 +235,19 @@ def written_like(kind: Column, hit: Column, new: Column) -> Column:
 def assigned(entities: DataFrame, key: str) -> DataFrame:
     """(kind, canon, new) with a surrogate for each distinct entity that no other entity has, as surrogate or as its own value."""
     sort = F.when(F.col("kind").contains(":"), "name").otherwise(F.col("kind"))  # names of any role are told apart
-    now = entities.select("kind", "canon", F.lit(0).alias("turn"))
+    now, done = entities.select("kind", "canon", F.lit(0).alias("turn")), ()
     while True:
         now = written(now.withColumn("new", drawn(F.col("kind"), F.col("canon"), F.col("turn"), key)).withColumn("sort", sort), "pii-drawn")
+        forget(*done)
         first = now.groupBy("sort", "new").agg(F.min(F.concat_ws("|", F.format_string("%06d", "turn"), "kind", "canon")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
         real = now.select("sort", F.col("canon").alias("new")).distinct()
         late = now.join(first, ["sort", "new"]).where(F.concat_ws("|", F.format_string("%06d", "turn"), "kind", "canon") != F.col("first")).select("kind", "canon")
         taken = now.join(real, ["sort", "new"], "left_semi").select("kind", "canon")
         again = written(late.unionByName(taken).distinct().withColumn("again", F.lit(1)), "pii-again")
         if not again.take(1):
+            forget(again)
             return now.select("kind", "canon", "new")
+        done = now, again
         now = now.join(again, ["kind", "canon"], "left").select("kind", "canon", (F.col("turn") + F.coalesce("again", F.lit(0))).alias("turn"))
 
 
