@@ -1,4 +1,4 @@
-"""``python -m tessera``: one query over the lines alive at a repository's HEAD."""
+"""``python -m tessera``: one query over a git repository: the lines alive at HEAD, files, refs and history."""
 
 from __future__ import annotations
 
@@ -16,7 +16,8 @@ from pyspark.sql import SparkSession
 from tessera.engine import Engine, Query
 from tessera.errors import QueryError, SourceError
 from tessera.functions.values import Value
-from tessera.sources.blame import BlameTable
+from tessera.sources.base import Table
+from tessera.sources.history import repository
 
 Rows = Sequence[tuple[Value, ...]]
 
@@ -63,12 +64,13 @@ def session() -> SparkSession:
     return spark
 
 
-def work(table: BlameTable, seconds: float) -> str:
+def work(table: Table, seconds: float) -> str:
     """Three fixed lines: paths, processes, time."""
-    read, runs = len(table.blamed_paths), table.git_invocations
+    every = getattr(table, "tables", [table])
+    read, tracked, runs = sum(len(t.blamed_paths) for t in every), sum(t.tracked for t in every), sum(t.git_invocations for t in every)
     paths = "path" if read == 1 else "paths"
     git = "git invocation" if runs == 1 else "git invocations"
-    return f"{read} {paths} blamed, {table.tracked - read} skipped\n{runs} {git}\n{seconds:.2f}s\n"
+    return f"{read} {paths} blamed, {tracked - read} skipped\n{runs} {git}\n{seconds:.2f}s\n"
 
 
 def told(trouble: Exception, repo: str) -> tuple[int, str]:
@@ -90,14 +92,14 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     for names, settings in OPTIONS.items():
         parser.add_argument(*names, **settings)
     asked = parser.parse_args(argv)
-    table, began = BlameTable(os.path.abspath(asked.repo)), time.monotonic()
+    began = time.monotonic()
     try:
-        query = Engine(spark or session(), {"blame": table}).query(asked.query, pushdown=not asked.no_pushdown)
+        query = Engine(spark or session(), repository(os.path.abspath(asked.repo))).query(asked.query, pushdown=not asked.no_pushdown)
         text = output(query, asked.explain, asked.format)  # whole before any of it is shown
         sys.stdout.write(text)
         sys.stdout.flush()
         if asked.stats and not asked.explain:
-            sys.stderr.write(work(table, time.monotonic() - began))
+            sys.stderr.write(work(query.table, time.monotonic() - began))
     except BrokenPipeError:
         pass
     except Exception as trouble:  # noqa: BLE001  never a traceback

@@ -103,6 +103,31 @@ def prefix(term: Node) -> str | None:
     return None
 
 
+def accepts_path(term: Node) -> bool:
+    """Whether a term over the path chooses files: by =, IN or the beginning."""
+    match term:
+        case Binary(op="="):
+            return is_path(term.a) and is_text(term.b) or is_path(term.b) and is_text(term.a)
+        case In(negated=False):
+            return is_path(term.x) and all(map(is_text, term.items))
+    return prefix(term) is not None
+
+
+def narrowed(paths: list[str], pushed: Sequence[Node]) -> list[str]:
+    """The paths that all of the accepted terms choose; IN gives them its own order."""
+    for t in pushed:
+        if isinstance(t, Binary):
+            wanted = (t.b if is_path(t.a) else t.a).value
+            paths = [p for p in paths if p == wanted]
+        elif isinstance(t, In):
+            have = set(paths)
+            paths = [p for p in dict.fromkeys(n.value for n in t.items) if p in have]
+        else:
+            begin = fold(prefix(t))
+            paths = [p for p in paths if fold(p).startswith(begin)]
+    return paths
+
+
 class BlameTable(Table):
     schema = SCHEMA
     in_order = True
@@ -123,31 +148,13 @@ class BlameTable(Table):
         return self.listings + (self._runs.value if self._runs is not None else 0)
 
     def accepts(self, term: Node) -> bool:
-        match term:
-            case Binary(op="="):
-                return is_path(term.a) and is_text(term.b) or is_path(term.b) and is_text(term.a)
-            case In(negated=False):
-                return is_path(term.x) and all(map(is_text, term.items))
-        return prefix(term) is not None
-
-    def narrowed(self, paths: list[str], pushed: Sequence[Node]) -> list[str]:
-        for t in pushed:
-            if isinstance(t, Binary):
-                wanted = (t.b if is_path(t.a) else t.a).value
-                paths = [p for p in paths if p == wanted]
-            elif isinstance(t, In):
-                have = set(paths)
-                paths = [p for p in dict.fromkeys(n.value for n in t.items) if p in have]
-            else:
-                begin = fold(prefix(t))
-                paths = [p for p in paths if fold(p).startswith(begin)]
-        return paths
+        return accepts_path(term)
 
     def frame(self, spark: SparkSession, pushed: Sequence[Node], few: bool = False) -> DataFrame:
         """A partition holds a run of paths, and a task asks git for one after another; where few rows may do, a partition is one path, so that Spark stops after the first that give enough."""
         every = listing(self.repo)
         self.tracked, self.listings = len(every), 1
-        paths = self.narrowed(every, pushed)
+        paths = narrowed(every, pushed)
         self._read = read = spark.sparkContext.accumulator(set(), _Paths())
         self._runs = runs = spark.sparkContext.accumulator(0)
         repo, program = self.repo, GIT
@@ -177,4 +184,4 @@ class BlameTable(Table):
 
     def estimate(self, pushed: Sequence[Node]) -> Estimate:
         every = listing(self.repo)
-        return Estimate("BlameScan", len(self.narrowed(every, pushed)), len(every))
+        return Estimate("BlameScan", len(narrowed(every, pushed)), len(every))
