@@ -14,8 +14,9 @@ agree. What a search finds is scored again in double precision on the original
 vectors; shard results are merged by a limited window per query.
 
 Every query is asked of every shard, which is what sharded search costs: queries x
-shards searches. So shards are as large as a task can build in minutes and hold
-in some 20 MB, and it is the queries, the smaller part, that are sent to the
+shards searches. So shards are as large as a task can build in a minute and hold
+in some 20 MB (of little data smaller, down to ``LEAST_SHARD``, so that all cores
+build), and it is the queries, the smaller part, that are sent to the
 shards, in blocks: a task first gets its shard's graph, once, and then one block
 after another. A task holds one shard and one block, both of bounded size. Where
 there are more cores than shards, a shard is sent to several tasks that share the
@@ -42,7 +43,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import bare, forget, small_batches, written
 
 K = 20
-SHARD_SIZE = 16384
+SHARD_SIZE, LEAST_SHARD = 16384, 4096
 QUERY_BLOCK = 1024
 LINKS = 16
 BUILD_WIDTH = 80
@@ -215,7 +216,8 @@ def index(embeddings: DataFrame, k: int = K, shard_size: int = SHARD_SIZE) -> Da
     rank = F.dense_rank().over(Window.partitionBy("h1", "h2").orderBy("vec_id"))
     least = written(hashed.withColumn("rank", rank).where(F.col("rank") <= k + 1).dropDuplicates(["vec_id", "h1", "h2"]), "ann-rows")
     n = least.where("rank = 1").count()
-    shards = max(1, -(-n // shard_size))
+    # shards of the given size, or smaller ones where cores would have nothing to build
+    shards = max(1, -(-n // shard_size), min(spark.sparkContext.defaultParallelism, -(-n // LEAST_SHARD)))
     dealt = least.select(F.pmod("h1", F.lit(shards)).cast("int").alias("shard"), "dim", "vec_id", "v")
     with small_batches(spark):
         out = written(dealt.groupBy("shard", "dim").applyInArrow(indexed, INDEX), "ann-index")
