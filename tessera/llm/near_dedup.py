@@ -64,6 +64,8 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Words whose hashes a worker keeps, and the most bytes of one.
 CACHE, CACHED_BYTES = 1 << 18, 64
+#: Ids of documents to leave out that are sent to all tasks; of more, documents are joined by a shuffle instead.
+MAX_SENT = 2_000_000
 #: Classes with one table key whose pairs are listed.
 SMALL = 4
 
@@ -318,7 +320,8 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
 def deduplicated(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` without those that duplicate another: one of each group stays, that of the least doc_id."""
     judged = written(near_duplicates(docs, similarity), "dedup-verdicts")
-    gone = judged.where("not kept").select("doc_id").distinct()
+    gone = written(judged.where("not kept").select("doc_id").distinct(), "dedup-gone")
+    gone = F.broadcast(gone) if gone.count() <= MAX_SENT else gone
     left = docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     again = judged.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
     again = written(again, "dedup-repeated")
