@@ -90,6 +90,17 @@ def test_nearest(spark):
     assert np.mean(recall) >= 0.95
 
 
+def test_nearest_of_long_vectors(spark):
+    rng = np.random.default_rng(3)
+    vectors = {i: rng.normal(size=3000) for i in range(60)}
+    rows = [(i, v.tolist()) for i, v in vectors.items()] + [(20, vectors[20].tolist())] * 3
+    got = {}
+    for r in nearest.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    want = brute.nearest(vectors, [0, 20, 40])
+    assert {q: [i for _, i in sorted(x)] for q, x in got.items()} == {q: [i for i, _ in x] for q, x in want.items()}
+
+
 def test_nearest_nothing(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert nearest.neighbours(df).count() == 0
@@ -216,6 +227,15 @@ def test_licenses_against_a_plain_search(documents):
     assert found <= {(i, n) for i, x in rows for n in short if brute.contained(x, short[n]) >= 0.75}
 
 
+def test_licenses_of_long_texts_and_repeated_rows(documents):
+    t = license_scan.TEMPLATES
+    long = "word other " * 400_000 + t["MIT"] + " end " * 1000 + t["GPL-3-text"]
+    found = license_scan.scan(documents([(1, long), (2, t["MIT-line"]), (2, t["MIT-line"]), (2, "no notice")])).collect()
+    assert {(r.license, r.word_start) for r in found if r.doc_id == 1 and r.containment == 1.0} >= {("MIT", 800_000)}
+    assert any(r.license == "GPL-3-text" and r.containment > 0.99 for r in found if r.doc_id == 1)
+    assert [(r.license, r.word_start, r.word_end) for r in found if r.doc_id == 2] == [("MIT-line", 0, 5)] * 2
+
+
 def test_licenses_with_words_put_in(documents):
     t = license_scan.TEMPLATES
     rows = []

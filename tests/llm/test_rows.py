@@ -266,6 +266,15 @@ def test_near_dedup(documents):
             assert r.kept == (r.doc_id == r.component_id)
 
 
+def test_near_dedup_of_long_texts(documents):
+    rng = random.Random(13)
+    fresh = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    base = fresh(200_000)
+    rows = [(5, " ".join(base)), (3, "\n".join(edited(rng, base, 0.02))), (9, " ".join(edited(rng, base, 0.2))), (7, "x" * 500_000), (8, "X" * 500_000)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(documents(rows)).collect()}
+    assert got == brute.components(rows) and got[5][1] == 3 and got[9][1] == 9 and got[8][1] == 7
+
+
 def test_deduplicated(documents):
     rows = [(3, "a b c d e f"), (1, "A B C D E F"), (1, "A B C D E F"), (2, None), (5, "x y")]
     out = near_dedup.deduplicated(documents(rows))
