@@ -51,7 +51,9 @@ class Query:
         def line(scan: Scan) -> str:
             terms = ", ".join(map(sql, scan.pushed)) or "none"
             e = self.table.estimate(scan.pushed)
-            return f"{scan.table} (pushed by Catalyst)" if e is None else f"{e.name} (pushed: {terms} -> {e.selected} of {e.total} {e.unit})"
+            if e is None:
+                return f"{scan.table} (pushed: {terms})" if scan.pushed else f"{scan.table} (pushed by Catalyst)"
+            return f"{e.name} (pushed: {terms} -> {e.selected} of {e.total} {e.unit})"
 
         with deep():
             return explain(self.op, line)

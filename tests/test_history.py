@@ -133,5 +133,13 @@ def test_joined_on_the_command_line(spark, repo, capsys):
     assert capsys.readouterr().err.splitlines()[:2] == ["0 paths blamed, 0 skipped", "1 git invocation"]
 
 
+def test_terms_of_joined_tables_reach_their_scans(engine, repo):
+    tables = engine.tables
+    q = engine.query("SELECT subject, path FROM commits JOIN commit_files USING (hash) WHERE author_name = 'Ana Petrova' AND path LIKE 'src/%'")
+    assert q.explain().splitlines()[-1].strip() == "commits JOIN commit_files (pushed: author_name = 'Ana Petrova')"
+    assert sorted(q.rows()) == [("change", "src/a.py"), ("change", "src/renamed.py")]
+    assert tables["commits"].git_invocations <= 1 + 3
+
+
 def test_quoted_paths():
     assert [unquoted(x) for x in ('"a\\tb"', '"\\303\\251\\"\\\\"', "plain é", "blank \t")] == ["a\tb", 'é"\\', "plain é", "blank "]
