@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bare, forget, small_batches, written
+from tessera.llm.common import forget, small_batches, written
 
 K = 20
 SHARD_SIZE, LEAST_SHARD = 16384, 4096
