@@ -149,6 +149,7 @@ class _Build:
             self.df = self.table.frame(self.spark, scan.pushed, few)
             self.ordered = ROW_ID in self.df.columns
         self.in_order = self.ordered and self.table.in_order
+        self.raw = True  # nothing since the scan has gathered its rows
         self.row = cells(self.schema, dict(self.df.dtypes))
 
     def filter(self, f: Filter) -> None:
@@ -182,7 +183,7 @@ class _Build:
         args = [None if not c.args or isinstance(c.args[0], Star) else c.args[0] for c in a.calls]
         vals = self.values([*a.keys, *[n for n in args if n is not None]])
         self.rename(vals)
-        self.in_order = False
+        self.in_order = self.raw = False
         keys, rest = self.row[: len(a.keys)], iter(self.row[len(a.keys) :])
         outs = [compute(fold(c.name), None if n is None else next(rest), c.distinct, self.ordered) for c, n in zip(a.calls, args, strict=True)]
         found = [v.col.alias(f"a{i}") for i, v in enumerate(outs)]
@@ -216,7 +217,7 @@ class _Build:
 
     def distinct(self) -> None:
         """Rows that differ; where rows have an order, the first of each and in that order."""
-        self.in_order = False
+        self.in_order = self.raw = False
         by = [key(v).alias(f"k{i}") if v.kind is Kind.NUM else v.col.alias(f"k{i}") for i, v in enumerate(self.row)]
         every = [c for c in self.df.columns if c != ROW_ID]
         if self.ordered:
@@ -231,11 +232,11 @@ class _Build:
     def finish(self, limit: Limit | None, mixed: str) -> DataFrame:
         order = [F.desc_nulls_last(sort_key(v)) if k.descending else F.asc_nulls_first(sort_key(v)) for v, k in self.sorting]
         df = self.df
-        if self.in_order and order and self.table.dear:
-            # ranges are sampled from what is sorted; an exchange below holds the rows, so that the scan runs once
-            df = df.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), ROW_ID)
         if self.ordered and not (self.in_order and not order):
             order.append(F.asc(ROW_ID))
+        if order and self.raw and self.ordered and self.table.dear:
+            # ranges are sampled from what is sorted; an exchange below holds the rows, so that the scan runs once
+            df = df.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), ROW_ID)
         df = df.orderBy(*order) if order else df
         if limit is not None:
             df = df.offset(limit.offset) if limit.offset else df
