@@ -1,4 +1,9 @@
-"""Numbers as text and text as numbers, by the model engine's rules rather than IEEE's."""
+"""Numbers as text and text as numbers, by SQLite's rules rather than IEEE's.
+
+The steps of text_to_real are those of SQLite 3.50's public-domain conversion, since
+results must agree to the last bit: the leading digits as 64 bits, then products of
+double-doubles with fixed powers of ten.
+"""
 
 from __future__ import annotations
 
