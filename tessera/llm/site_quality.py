@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BLANKS, bare, forget, let, words, written
+from tessera.llm.common import BLANKS, bare, blank_parts, forget, let, written
 
 #: At most so many labelled ids, those of least hash, fit the classifier, with at most twice as many rows, as ids may be repeated.
 MAX_LABELLED = 20_000
@@ -42,18 +42,17 @@ def evidence_counts(text: Column) -> Column:
     """An array of FEATURES numbers that don't grow with the text."""
     text = F.coalesce(text, F.lit(""))
     upper, digits, symbols, marks = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "#*$%&|<>{}[]~^_=+\\@", "!?"
-    without = lambda chars: F.length(F.translate(text, chars, ""))
-    n = F.length(text)
-    share = lambda chars: (n - without(chars)) / F.greatest(without(BLANKS), F.lit(1))
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.translate(x, BLANKS, "") != "")
+    lines = F.filter(F.split(text, "\n", -1), lambda x: F.ltrim(x, F.lit(BLANKS)) != "")
 
-    def of(s: Column) -> Column:
-        count = F.greatest(F.size(s["w"]), F.lit(1))
+    def of(n: Column, plain: Column, w: Column, filled: Column) -> Column:
+        """From the number of characters, that of those which are no blanks, the words and the lines that have any."""
+        count = F.greatest(F.size(w), F.lit(1))
+        share = lambda chars: (n - F.length(F.translate(text, chars, ""))) / F.greatest(plain, F.lit(1))
         return F.array(
-            F.log1p(F.size(s["w"])),
-            without(BLANKS) / count,
-            F.size(F.array_distinct(s["w"])) / count,
-            (F.size(s["l"]) - F.size(F.array_distinct(s["l"]))) / F.greatest(F.size(s["l"]), F.lit(1)),
+            F.log1p(F.size(w)),
+            plain / count,
+            F.size(F.array_distinct(w)) / count,
+            (F.size(filled) - F.size(F.array_distinct(filled))) / F.greatest(F.size(filled), F.lit(1)),
             share(upper),
             share(digits),
             share(symbols),
@@ -61,7 +60,8 @@ def evidence_counts(text: Column) -> Column:
             share(".,;:"),
         )
 
-    return let(F.struct(words(text).alias("w"), lines.alias("l")), of)
+    # variables are bound one inside the other, so that each is computed once and nothing large is copied
+    return let(F.length(text), lambda n: let(blank_parts(text), lambda p: let(n - F.size(p) + 1, lambda plain: let(F.array_remove(p, ""), lambda w: let(lines, lambda x: of(n, plain, w, x))))))
 
 
 def fitted(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, turns: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
