@@ -45,6 +45,7 @@ from tessera.llm.common import forget, small_batches, written
 K = 20
 SHARD_SIZE, LEAST_SHARD = 16384, 4096
 QUERY_BLOCK = 1024
+SPREAD = 4
 LINKS = 16
 BUILD_WIDTH = 80
 SEARCH_WIDTH = 160
@@ -220,7 +221,8 @@ def index(embeddings: DataFrame, k: int = K, shard_size: int = SHARD_SIZE) -> Da
     shards = max(1, -(-n // shard_size), min(spark.sparkContext.defaultParallelism, -(-n // LEAST_SHARD)))
     dealt = least.select(F.pmod("h1", F.lit(shards)).cast("int").alias("shard"), "dim", "vec_id", "v")
     with small_batches(spark):
-        out = written(dealt.groupBy("shard", "dim").applyInArrow(indexed, INDEX), "ann-index")
+        # more partitions than shards, a given number, so that few shards meet in a task by their hash or their small size
+        out = written(dealt.repartition(SPREAD * shards, "shard", "dim").groupBy("shard", "dim").applyInArrow(indexed, INDEX), "ann-index")
     forget(least)
     return out
 
@@ -280,7 +282,7 @@ def nearest(index_rows: DataFrame, queries: DataFrame, k: int = K, width: int =
     graphs = index_rows.withColumns({"copy": F.explode(F.sequence(F.lit(0), F.lit(copies - 1))), "turn": F.lit(-1)})
     both = graphs.unionByName(dealt, allowMissingColumns=True)
     with small_batches(spark):
-        sent = both.repartition(shards * copies, "dim", "shard", "copy").sortWithinPartitions("dim", "shard", "copy", "turn")
+        sent = both.repartition(SPREAD * shards * copies, "dim", "shard", "copy").sortWithinPartitions("dim", "shard", "copy", "turn")
         found = written(sent.mapInArrow(lambda b: searched(b, k, width), "query_id long, vec_id long, score double"), "ann-found")
     forget(queries, blocked)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
