@@ -207,13 +207,14 @@ def ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
+    """The pairs (a, b) whose sets are similar enough; repeated rows of a document repeat its pairs."""
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").where(F.size("sa") > 0)
     # a pair whose sizes differ too much can't be similar
     both = both.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
     small, large = F.least(F.size("sa"), F.size("sb")), F.greatest(F.size("sa"), F.size("sb"))
     both = both.where(100 * small >= similarity * large).withColumn("both", F.size(F.array_intersect("sa", "sb")))
-    return both.where(100 * F.col("both") >= similarity * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b").distinct()
+    # not made distinct here: that would hold all pairs of one b in one task, as no exchange would lie between it and the join
+    return both.where(100 * F.col("both") >= similarity * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
 
 
 def apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
